@@ -50,6 +50,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         fs, at = self._fs(path)
         fs.deleteOnExit(at)
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep.append(out)
