@@ -121,6 +121,8 @@ def buckets(scratch: Scratch, sets: DataFrame, small: int) -> DataFrame:
         if above is not None:
             own = own.join(above, "up", "left_semi")
         own = own.select("id", "key").distinct()
+        if level:
+            own = scratch.store(own, f"split-{level}")  # read twice below
         sizes = scratch.store(own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
         fine = sizes.where(F.col("m") <= small) if level + 1 < LEVELS else sizes
         got = own.join(fine.select("key"), "key", "left_semi")
