@@ -24,7 +24,7 @@ from .chunks import cut_out
 from .pairs import groups
 
 #: Bytes of a repeated string and of an anchor; bytes sorted into one suffix order; blocks an anchor may have there, else its strings are counted by digest.
-LENGTH, ANCHOR, ORDER_BYTES, ORDER_BLOCKS = 200, 48, 1 << 19, 1024
+LENGTH, ANCHOR, ORDER_BYTES, ORDER_BLOCKS = 200, 48, 1 << 19, 4096
 PLACE = U64((1 << 24) - 1)
 
 
