@@ -78,7 +78,9 @@ def paths(s: np.ndarray, runs: int, pick: float = PICK, levels: int = LEVELS) ->
         seeds = np.array([x for _, x in nodes], U64)
         below = []
         for at in range(0, len(seeds), 16):
-            h = mix64(s[None, :] ^ seeds[at : at + 16, None])
+            h = (s[None, :] ^ seeds[at : at + 16, None]) * U64(0xD6E8FEB86659FD93)
+            h ^= h >> U64(32)
+            h *= MIX
             for i, j in zip(*np.nonzero(h <= bound), strict=True):
                 above, seed = nodes[at + i]
                 key = mix64(np.array([h[i, j] + MIX * (seed | U64(1))], U64))[0]
