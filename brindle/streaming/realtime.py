@@ -44,7 +44,7 @@ def start(messages: DataFrame, spec: TableSpec, location: str, checkpoint: str,
     def save(batch: DataFrame, n: int) -> None:
         rows = ingest_json(batch.withColumn("_row", F.monotonically_increasing_id()), spec, how, keep=("_row",))
         # arrival: batch, then row and object in it; all fits into one growing number
-        order = F.lit(n).cast("decimal(38,0)") * F.lit(10**24).cast("decimal(38,0)") + F.col("_row").cast("decimal(38,0)") * F.lit(100_000) + F.col("_pos")
+        order = F.lit(n).cast("decimal(38,0)") * F.lit(str(10**24)).cast("decimal(38,0)") + F.col("_row").cast("decimal(38,0)") * F.lit(100_000) + F.col("_pos")
         if spec.agg.grouping:
             rows = rollup(rows, spec.agg, seq=order.cast("decimal(38,0)"), keep_seq=True)
         else:
