@@ -21,6 +21,8 @@ from .pairs import similar_pairs
 CHARS, THRESHOLD, ROWS, BANDS = 8, 0.8, 4, 10
 #: Up to so many wanted lines are broadcast to where the texts are read (16 bytes each); more are shuffled.
 BROADCAST = 300_000
+#: Lines a task remembers, so as not to give the keys of a copy again.
+REMEMBERED = 200_000
 
 _ODD = (mix64(np.arange(1, ROWS * BANDS + 1, dtype=U64) * MIX) | U64(1)).astype(np.uint32)[:, None]
 _ADD = mix64(np.arange(1001, ROWS * BANDS + 1001, dtype=U64) * MIX).astype(np.uint32)[:, None]
@@ -71,13 +73,15 @@ def band_keys(lines: list[str], k: int = CHARS) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a line that isn't blank: line (digest of its normal form), its first half as a number, doc, pos, keys (empty where the batch had the line before)."""
+    """One row a line that isn't blank: line (digest of its normal form), doc, pos, keys (empty where the task had the line a while ago)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         with np.errstate(over="ignore"):
+            seen: set[bytes] = set()
             for b in slices(batches, 128):
-                seen: set[bytes] = set()
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 fresh, digests, pos, counts, is_new = [], [], [], [], []
                 for text in b.column(1).to_pylist():
                     n = 0
@@ -101,17 +105,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         at, size = i + 1, 0
                 flat = np.concatenate(keys).reshape(-1).view(np.int64) if keys else np.empty(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.array(is_new, np.int64) * BANDS)])
-                cols = [pa.array(digests, pa.binary()), pa.array(np.frombuffer(b"".join(digests), np.int64)[::2].copy()), b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols, names=["line", "half", "doc", "pos", "keys"])
+                cols = [pa.array(digests, pa.binary()), b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(cols, names=["line", "doc", "pos", "keys"])
 
-    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, half bigint, doc {kind}, pos int, keys array<bigint>")
+    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, doc {kind}, pos int, keys array<bigint>")
 
 
 def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(doc, gone): numbers of the lines of each document of which the component has an earlier one."""
     table = scratch.store(line_table(docs, id_col, text_col), "lines")
-    rows = table.select(F.col("line").alias("id"), "half", F.explode("keys").alias("key"))
-    # a key counts if two different lines have it; copies of one line fall together before the shuffle
+    rows = table.select(F.col("line").alias("id"), F.hash("line").alias("half"), F.explode("keys").alias("key"))
+    # a key counts if two different lines have it, told by 32 bits of each; copies of one line fall together before the shuffle
     shared = rows.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("key")
     keyed = scratch.store(rows.select("key", "id").join(shared, "key").distinct(), "keyed")
 
