@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch
 
@@ -24,28 +25,47 @@ SKETCH, AGREE = 64, 36
 
 
 def groups(batches, width: int):
-    """Runs of rows that agree in the first ``width`` columns (integers without nulls) of sorted batches, as tables."""
-    held: list[pa.RecordBatch] = []
-    last = None
+    """Runs of rows that agree in the first ``width`` columns (integers without nulls) of sorted batches, as lists of columns."""
+    held: list[list] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(i).to_numpy() for i in range(width)]
+        cols = [c.to_pylist() for c in b.columns]
+        numbers = [b.column(i).to_numpy() for i in range(width)]
         new = np.zeros(b.num_rows, bool)
-        for c in cols:
+        for c in numbers:
             new[1:] |= c[1:] != c[:-1]
-        new[0] = last is not None and last != tuple(c[0] for c in cols)
         edges = [0, *np.nonzero(new)[0].tolist(), b.num_rows]
         for s, e in zip(edges, edges[1:], strict=False):
-            if s in edges[1:-1] or (s == 0 and new[0]):
-                if held:
-                    yield pa.Table.from_batches(held)
-                held = []
-            if e > s:
-                held.append(b.slice(s, e - s))
-        last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
+            part = [c[s:e] for c in cols]
+            if held is not None and all(held[i][0] == part[i][0] for i in range(width)):
+                for x, y in zip(held, part, strict=True):
+                    x += y
+            else:
+                if held is not None:
+                    yield held
+                held = part
+    if held is not None:
+        yield held
+
+
+class Rows:
+    """Collects rows and gives them back as batches."""
+
+    def __init__(self, schema: pa.Schema, size: int = 4096):
+        self.schema, self.size, self.cols = schema, size, [[] for _ in schema]
+
+    def add(self, cols) -> None:
+        for x, y in zip(self.cols, cols, strict=True):
+            x += y
+
+    def full(self) -> bool:
+        return len(self.cols[0]) >= self.size
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.cols, self.schema, strict=True)], schema=self.schema)
+        self.cols = [[] for _ in self.schema]
+        return out
 
 
 def own_pairs(key: int, keys: list[list[int]], blk: np.ndarray, one: int, two: int) -> np.ndarray:
@@ -67,6 +87,14 @@ def own_pairs(key: int, keys: list[list[int]], blk: np.ndarray, one: int, two: i
     return ok
 
 
+def pair_here(key: int, keys: list[list[int]], blk: list[int], one: int, two: int) -> bool:
+    """The same for a cell of two items."""
+    if one != two and blk[0] == blk[1]:
+        return False
+    other = set(keys[1])
+    return not any(k < key and k in other for k in keys[0])
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """Size of the intersection of every two sets of words."""
     m = len(sets)
@@ -122,52 +150,78 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
     cells = rows.select("key", F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "id", "keys", *light_cols)
     cells = cells.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
+    ids = to_arrow_type(keyed.schema["id"].dataType)
+    need_schema = pa.schema([("key", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("blk", pa.int32()), ("id", ids), ("keys", pa.list_(pa.int64()))])
+
     def needed(batches):
+        out = Rows(need_schema)
         for t in groups(batches, 3):
-            m = t.num_rows
+            m = len(t[0])
             if m < 2:
                 continue
-            key, one, two = (t.column(i)[0].as_py() for i in range(3))
-            ok = own_pairs(key, t.column(5).to_pylist(), t.column(3).to_numpy(), one, two)
-            if light_cols:
-                n = t.column(6).to_numpy().astype(np.float64)
-                ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
-                if ok.any():
-                    sk = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(m, SKETCH)
-                    i, j = np.nonzero(ok)
-                    for at in range(0, len(i), 1 << 16):
-                        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                        ok[x, y] = (sk[x] == sk[y]).sum(1) >= AGREE
-            use = ok.any(0) | ok.any(1)
-            if use.any():
-                yield from t.select(range(6)).filter(pa.array(use)).combine_chunks().to_batches()
+            key, one, two = t[0][0], t[1][0], t[2][0]
+            if m == 2:
+                use = pair_here(key, t[5], t[3], one, two)
+                if use and light_cols:
+                    use = min(t[6]) >= threshold * max(t[6]) and (np.frombuffer(t[7][0], np.uint8) == np.frombuffer(t[7][1], np.uint8)).sum() >= AGREE
+                at = [0, 1] if use else []
+            else:
+                ok = own_pairs(key, t[5], np.array(t[3]), one, two)
+                if light_cols:
+                    n = np.array(t[6], np.float64)
+                    ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+                    if ok.any():
+                        sk = np.frombuffer(b"".join(t[7]), np.uint8).reshape(m, SKETCH)
+                        i, j = np.nonzero(ok)
+                        for at in range(0, len(i), 1 << 16):
+                            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                            ok[x, y] = (sk[x] == sk[y]).sum(1) >= AGREE
+                at = np.nonzero(ok.any(0) | ok.any(1))[0].tolist()
+            if at:
+                out.add([[c[i] for i in at] for c in t[:6]])
+                if out.full():
+                    yield out.take()
+        yield out.take()
 
     need = scratch.store(cells.mapInArrow(needed, f"key bigint, one int, two int, blk int, id {kind}, keys array<bigint>"), f"{name}-cells")
     body = bodies(need.select("id").distinct())
     full = need.join(body, "id").select("key", "one", "two", "blk", "id", "keys", "copies", "body")
     full = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
+    link_schema = pa.schema([("id", ids), ("root", ids), ("n", pa.int64())])
+
     def compare(batches):
+        out = Rows(link_schema)
         for t in groups(batches, 3):
-            m = t.num_rows
+            m = len(t[0])
             if m < 2:
                 continue
-            key, one, two = (t.column(i)[0].as_py() for i in range(3))
-            ok = own_pairs(key, t.column(5).to_pylist(), t.column(3).to_numpy(), one, two)
-            sets = [to_set(x) for x in t.column(7).to_pylist()]
-            size = np.array([len(s) for s in sets], np.float32)
-            both = common(sets)
-            either = size[:, None] + size[None, :] - both
-            # in whole numbers: at the threshold itself there is no rounding
-            ok &= (both.astype(np.int64) * 1000 >= either.astype(np.int64) * round(threshold * 1000)) & (either > 0)
-            if not ok.any():
-                continue
-            ok |= ok.T
-            n = ok @ t.column(6).to_numpy().astype(np.float64)
-            root = roots(ok)
-            at = np.nonzero(ok.any(1))[0]
-            ids = t.column(4).combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), ids.take(pa.array(root[at])), pa.array(n[at].astype(np.int64))], names=["id", "root", "n"])
+            key, one, two = t[0][0], t[1][0], t[2][0]
+            if m == 2:
+                if not pair_here(key, t[5], t[3], one, two):
+                    continue
+                x, y = to_set(t[7][0]), to_set(t[7][1])
+                both = int(np.isin(x, y, assume_unique=True).sum())
+                if both and both * 1000 >= (len(x) + len(y) - both) * round(threshold * 1000):
+                    out.add([t[4], [t[4][0]] * 2, [t[6][1], t[6][0]]])
+            else:
+                ok = own_pairs(key, t[5], np.array(t[3]), one, two)
+                sets = [to_set(x) for x in t[7]]
+                size = np.array([len(s) for s in sets], np.float32)
+                both = common(sets)
+                either = size[:, None] + size[None, :] - both
+                # in whole numbers: at the threshold itself there is no rounding
+                ok &= (both.astype(np.int64) * 1000 >= either.astype(np.int64) * round(threshold * 1000)) & (either > 0)
+                if not ok.any():
+                    continue
+                ok |= ok.T
+                n = ok @ np.array(t[6], np.float64)
+                root = roots(ok)
+                at = np.nonzero(ok.any(1))[0].tolist()
+                out.add([[t[4][i] for i in at], [t[4][root[i]] for i in at], [int(n[i]) for i in at]])
+            if out.full():
+                yield out.take()
+        yield out.take()
 
     got = scratch.store(full.mapInArrow(compare, f"id {kind}, root {kind}, n bigint"), f"{name}-links")
     scratch.drop(need)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import U64, Scratch, runs_hash, slices, text_or_empty
 from .chunks import cut_out
@@ -203,6 +204,8 @@ def spans(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, length:
     segments = scratch.store(texts.mapInArrow(bodies, f"anchor bigint, n bigint, doc {kind}, first bigint, body binary"), "segments")
     crowded = scratch.store(segments.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > ORDER_BLOCKS).select("anchor"), "crowded")
 
+    doc_type = to_arrow_type(docs.schema[id_col].dataType)
+
     def ordered(batches):
         """Suffix orders over several anchors at a time; strings of different anchors are never equal."""
         held: list[tuple] = []
@@ -223,13 +226,11 @@ def spans(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, length:
                     docs_.append(r[1])
                     s_.append(r[2] + i)
                     e_.append(r[2] + j + length)
-            return pa.RecordBatch.from_arrays([pa.array(docs_, batch_kind[0]), pa.array(s_, pa.int64()), pa.array(e_, pa.int64())], names=["doc", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(docs_, doc_type), pa.array(s_, pa.int64()), pa.array(e_, pa.int64())], names=["doc", "s", "e"])
 
-        batch_kind = []
         for t in groups(batches, 1):
-            batch_kind[:] = [t.schema.field("doc").type]
-            if t.num_rows > 1:
-                got = sorted(zip(*(t.column(k).to_pylist() for k in ("n", "doc", "first", "body")), strict=True), key=lambda r: (r[1] is not None, r[1], r[2]))
+            if len(t[0]) > 1:
+                got = sorted(zip(*t[1:], strict=True), key=lambda r: (r[1] is not None, r[1], r[2]))
                 held += got
                 size += sum(len(r[3]) for r in got)
                 if size > ORDER_BYTES:
