@@ -85,6 +85,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """The different words in order; for short arrays much faster than numpy's own way."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def runs_hash(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` neighbouring words; by doubling, so in log(width) passes."""
     n = len(values) - width + 1

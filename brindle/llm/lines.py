@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, text_or_empty
+from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, sorted_set, text_or_empty
 from .pairs import similar_pairs
 
 #: Characters a shingle, least similarity, hashes a band, bands. A pair at 0.8 is missed with probability 0.005, at 0.9 with 0.00002.
@@ -39,7 +39,7 @@ def code_points(text: str) -> np.ndarray:
 def shingles(line: str, k: int = CHARS) -> np.ndarray:
     """The set of hashed character shingles of a normal form; a shorter line is one shingle."""
     c = code_points(line).astype(U64)
-    return np.unique(runs_hash(c, min(k, len(c)))) if len(c) else np.empty(0, U64)
+    return sorted_set(runs_hash(c, min(k, len(c)))) if len(c) else np.empty(0, U64)
 
 
 def band_keys(lines: list[str], k: int = CHARS) -> np.ndarray:

@@ -95,6 +95,13 @@ def pair_here(key: int, keys: list[list[int]], blk: list[int], one: int, two: in
     return not any(k < key and k in other for k in keys[0])
 
 
+def in_both(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets of words."""
+    z = np.concatenate((x, y))
+    z.sort()
+    return int(np.count_nonzero(z[1:] == z[:-1]))
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """Size of the intersection of every two sets of words."""
     m = len(sets)
@@ -201,7 +208,7 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
                 if not pair_here(key, t[5], t[3], one, two):
                     continue
                 x, y = to_set(t[7][0]), to_set(t[7][1])
-                both = int(np.isin(x, y, assume_unique=True).sum())
+                both = in_both(x, y)
                 if both and both * 1000 >= (len(x) + len(y) - both) * round(threshold * 1000):
                     out.add([t[4], [t[4][0]] * 2, [t[6][1], t[6][0]]])
             else:
