@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, text_or_empty
+from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, sorted_set, text_or_empty
 from .pairs import SKETCH, similar_pairs
 
 #: Words a shingle, least similarity, expected tokens a set samples at a node, buckets up to this size aren't split, levels of a path.
@@ -51,43 +51,41 @@ def shingles(text: str, k: int = WORDS) -> np.ndarray:
     w = np.array([h(x) for x in words_of(text)], U64)
     if not len(w):
         return w
-    return np.unique(runs_hash(w, min(k, len(w))))
+    return sorted_set(runs_hash(w, min(k, len(w))))
+
+
+_ODD = (mix64(np.arange(1, SKETCH + 1, dtype=U64) * MIX) | U64(1)).astype(np.uint32)[:, None]
+_ADD = mix64(np.arange(1001, SKETCH + 1001, dtype=U64) * MIX).astype(np.uint32)[:, None]
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Low bytes of SKETCH minwise hashes."""
-    out = np.empty(SKETCH, np.uint8)
-    for at in range(0, SKETCH, 16):
-        salts = mix64(np.arange(at + 1, at + 17, dtype=U64) * MIX)
-        x = (s[None, :] ^ salts[:, None]) * U64(0xD6E8FEB86659FD93)
-        x ^= x >> U64(32)
-        x *= MIX
-        out[at : at + 16] = (x.min(1) >> U64(20)).astype(np.uint8)
+    """A byte each of SKETCH minwise hashes, multiplied in 32 bits."""
+    low, out = s.astype(np.uint32)[None, :], np.empty(SKETCH, np.uint8)
+    step = max(4, min(SKETCH, (1 << 15) // len(s)))  # what is worked on at once stays in the cache
+    for at in range(0, SKETCH, step):
+        out[at : at + step] = ((low * _ODD[at : at + step] + _ADD[at : at + step]).min(1) >> np.uint32(4)).astype(np.uint8)
     return out.tobytes()
 
 
-def paths(s: np.ndarray, runs: int, pick: float = PICK, levels: int = LEVELS) -> list[list[int]]:
-    """Chosen paths of a set: of each level the keys, each with those of the levels above it.
+def paths(s: np.ndarray, runs: int, pick: float = PICK, levels: int = LEVELS) -> np.ndarray:
+    """Chosen paths of a set, a row each: its keys from the first level on, then zeros.
 
-    A token is chosen at a node if its hash with the node is less than pick / size.
+    A token is chosen at a node if its 32-bit hash with the node is less than
+    pick / size. A path's key mixes the token's whole hash with the node above.
     """
-    bound = U64(min(2**64 - 1, int(pick / len(s) * 2**64)))
-    out = []
-    nodes = [((), mix64(np.array([r + 1], U64) * MIX)[0]) for r in range(runs)]
+    bound, low = np.uint32(min(2**32 - 1, int(pick / len(s) * 2**32))), s.astype(np.uint32)[None, :]
+    seeds, above, out = mix64((np.arange(runs, dtype=U64) + U64(1)) * MIX), np.empty((runs, 0), U64), []
+    step = max(4, (1 << 15) // len(s))
     for level in range(levels):
-        seeds = np.array([x for _, x in nodes], U64)
-        below = []
-        for at in range(0, len(seeds), 16):
-            h = (s[None, :] ^ seeds[at : at + 16, None]) * U64(0xD6E8FEB86659FD93)
-            h ^= h >> U64(32)
-            h *= MIX
-            for i, j in zip(*np.nonzero(h <= bound), strict=True):
-                above, seed = nodes[at + i]
-                key = mix64(np.array([h[i, j] + MIX * (seed | U64(1))], U64))[0]
-                below.append(((*above, int(key.astype(np.int64))), key))
-        nodes = below
-        out += [list(a) + [0] * (levels - 1 - level) for a, _ in nodes]
-    return out
+        odd, add = (seeds | U64(1)).astype(np.uint32)[:, None], (seeds >> U64(32)).astype(np.uint32)[:, None]
+        hits = [np.nonzero(low * odd[at : at + step] + add[at : at + step] <= bound) for at in range(0, len(seeds), step)]
+        if not hits:
+            break
+        node = np.concatenate([i + k * step for k, (i, _) in enumerate(hits)])
+        seeds = mix64(s[np.concatenate([j for _, j in hits])] * MIX + seeds[node])
+        above = np.concatenate([above[node], seeds[:, None]], axis=1)
+        out.append(np.pad(above, ((0, 0), (0, levels - 1 - level))))
+    return np.concatenate(out).view(np.int64)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, k: int, runs: int) -> DataFrame:
@@ -101,7 +99,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int, runs: int) -> D
                 for text in b.column(1).to_pylist():
                     if text not in seen:
                         s = shingles(text, k)
-                        seen[text] = (hash128(s), len(s), [x for p in paths(s, runs) for x in p], sketch(s)) if len(s) else (None, 0, [], None)
+                        seen[text] = (hash128(s), len(s), paths(s, runs).reshape(-1), sketch(s)) if len(s) else (None, 0, [], None)
                     rows.append(seen[text])
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["id", "d", "n", "paths", "sketch"])
