@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Words and byte prefixes remembered by a worker; beyond that the memory starts anew. Results don't depend on it.
-WORDS, PREFIXES = 160_000, 600_000
+WORDS, PREFIXES = 60_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -207,7 +210,7 @@ class PrefixBPE:
     def encode(self, text: str) -> list[int]:
         return [t for p in self.pattern.findall(text) for t in self.encode_piece(p.encode())]
 
-    def by_words(self, text: str) -> list[tuple[str, list[int], bool]]:
+    def by_words(self, text: str) -> list[tuple[str, array, bool]]:
         """Encodings of the text's parts between spaces: (decimal ids, ids, whether it ends with white space).
 
         No piece of the pattern goes on past a space unless white space stands
@@ -222,12 +225,12 @@ class PrefixBPE:
             return [self.part(text)]
         return got
 
-    def part(self, text: str) -> tuple[str, list[int], bool]:
+    def part(self, text: str) -> tuple[str, array, bool]:
         ids = self.encode(text)
-        return ",".join(map(str, ids)), ids, text[-1:].isspace()
+        return ",".join(map(str, ids)), array("i", ids), text[-1:].isspace()
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 _ENGINES: dict[tuple, PrefixBPE] = {}
@@ -257,17 +260,19 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
         e = engine(path, pattern)
         sha = hashlib.sha256
         for b in slices(batches):
-            n, all_ids, sums, back = [], [], [], []
+            n, flat, sums, back = [], [], [], []
             for text in b.column(len(kinds)).to_pylist():
                 got = e.by_words(text or "")
-                own = [t for x in got for t in x[1]]
+                own = array("i", b"".join([x[1] for x in got]))
                 n.append(len(own))
                 if ids:
-                    all_ids.append(own)
+                    flat.append(own.tobytes())
                 sums.append(sha(",".join([x[0] for x in got]).encode()).hexdigest())
                 back.append(sha(e.decode(own)).hexdigest())
-            cols = [b.column(i) for i in range(len(kinds))] + [pa.array(n, pa.int64())] + ([pa.array(all_ids, pa.list_(pa.int32()))] if ids else []) + [pa.array(sums, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [b.column(i) for i in range(len(kinds))] + [pa.array(n, pa.int64())]
+            if ids:
+                cols.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32))))
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(sums, pa.string()), pa.array(back, pa.string())], names=names)
 
     return docs.select(id_col, *keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

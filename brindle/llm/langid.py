@@ -184,11 +184,12 @@ def reject(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """The documents without those that the language ID rejects; the columns stay, ``lang_col`` is filled where it is null."""
     model = fit(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
     cols = docs.columns
-    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(text_col).alias("__text"))
+    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
+    at = [c.lower() for c in cols].index(text_col.lower())  # the text is read out of the row, so that it passes once
 
     def run(batches):
         for b in slices(batches):
-            got = [model.predict(t) for t in b.column(1).to_pylist()]
+            got = [model.predict(t) for t in b.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([bool(x[2]) for x in got], pa.bool_())], names=["__row", "__lang", "__out"])
 
     kind = flat.schema["__row"].dataType.simpleString()
