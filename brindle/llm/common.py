@@ -62,6 +62,11 @@ class Scratch:
                 fs, at = self._fs(path)
                 fs.delete(at, True)
 
+    def drop_named(self, *names: str) -> None:
+        """Free the tables stored under these names, which no later plan may read."""
+        for t in [t for t in self._keep if self.paths.get(id(t), "").rsplit("/", 1)[-1] in names]:
+            self.drop(t)
+
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

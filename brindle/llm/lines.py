@@ -137,6 +137,7 @@ def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, t
 
     _, edges = similar_pairs(scratch, keyed, None, bodies, shingles, threshold, "lines")
     roots = components(scratch, edges)
+    scratch.drop_named("keyed", "wanted", "bodies", "lines-links")
     own = table.select("line", "doc", "pos").join(roots, F.col("line") == F.col("node"), "left").select(F.coalesce("root", "line").alias("part"), "doc", "pos")
     firsts = own.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).where("n > 1").select("part", "first")
     gone = own.join(firsts, "part").where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))

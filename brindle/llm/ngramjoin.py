@@ -166,6 +166,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     links, edges = similar_pairs(scratch, keyed, reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), bodies, lambda b: np.frombuffer(b, U64), threshold, "join")
     roots = components(scratch, edges)
+    scratch.drop_named("keyed", "bodies", *[f"{x}-{k}" for x in ("sizes", "split") for k in range(LEVELS)])
     classes = reps.select("d", "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("d", F.coalesce("root", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     out = all_sets.select("id", "d").join(classes, "d", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
