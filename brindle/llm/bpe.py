@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Words and byte prefixes remembered by a worker; beyond that the memory starts anew. Results don't depend on it.
-WORDS, PREFIXES = 60_000, 400_000
+#: Pieces and byte prefixes remembered by a worker, characters of a piece worth remembering; beyond that the memory starts anew. Results don't depend on it.
+PIECES, PREFIXES, LONG = 120_000, 400_000, 64
+#: Lengths that are always worth a look.
+SHORT = (3, 2, 1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,21 +35,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-class _Words(dict):
-    """Encodings of words with a space before them, made when first asked for."""
+class _Pieces(dict):
+    """Encodings of pieces, (decimal ids, their bytes as int32), made when first asked for."""
 
     def __init__(self, owner: PrefixBPE):
         self.owner, self.older = owner, {}
 
-    def __missing__(self, word: str):
-        if (got := self.older.get(word)) is None:
-            got = self.owner.part(" " + word)
-        self[word] = got
+    def __missing__(self, piece: str):
+        if (got := self.older.get(piece)) is None:
+            ids = self.owner.encode_piece(piece.encode())
+            got = ",".join(map(str, ids)), array("i", ids).tobytes()
+        if len(piece) <= LONG:
+            self[piece] = got
         return got
 
     def age(self) -> None:
         """When full, what was made or used since the last time stays within reach."""
-        if len(self) > WORDS:
+        if len(self) > PIECES:
             self.older = dict(self)
             self.clear()
 
@@ -60,14 +64,14 @@ class PrefixBPE:
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, ranks))
         self.sizes: dict[bytes, set[int]] = {}
-        for t in ranks:  # lengths of longer tokens by their last four bytes: few are worth a look at any position
+        for t in ranks:  # lengths of tokens by their last four bytes: few are worth a look at any position
             if len(t) > 3:
                 self.sizes.setdefault(t[-4:], set()).add(len(t))
-        self.sizes = {k: sorted(v, reverse=True) for k, v in self.sizes.items()}
+        self.sizes = {k: (*sorted(v, reverse=True), *SHORT) for k, v in self.sizes.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.prefixes: dict[bytes, int] = {}
-        self.words = _Words(self)
+        self.pieces = _Pieces(self)
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE of a few bytes: the best-ranked neighbours first, leftmost among equals."""
@@ -131,19 +135,16 @@ class PrefixBPE:
 
     def last_token(self, data: bytes, end: int, before) -> int:
         """The token that ends the encoding of ``data[:end]``; before(k): that of ``data[:k]``."""
-        ranks, fits = self.ranks, self.fits
-        for sizes in (self.sizes.get(data[end - 4 : end], ()) if end > 3 else (), (3, 2, 1)):
-            for size in sizes:
-                if size > end or (t := ranks.get(data[end - size : end])) is None:
-                    continue
-                if size == end:
-                    if self.edge(t) is not None:
-                        return t
-                else:
+        rank, known = self.ranks.get, self.fits.get
+        for size in self.sizes.get(data[end - 4 : end], SHORT) if end > 3 else SHORT:
+            if size < end:
+                if (t := rank(data[end - size : end])) is not None:
                     p = before(end - size)
-                    good = fits.get((p, t))
+                    good = known((p, t))
                     if good or good is None and self.may_follow(p, t):
                         return t
+            elif size == end and (t := rank(data[:end])) is not None and self.edge(t) is not None:
+                return t
         raise ValueError("no token can end this prefix")
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
@@ -171,19 +172,12 @@ class PrefixBPE:
         have = n
         while have and data[:have] not in table:
             have -= 1
-        last: dict[int, int] = {}
-
-        def before(k):
-            if k not in last:
-                last[k] = table[data[:k]]
-            return last[k]
-
         for end in range(have + 1, n + 1):
-            last[end] = table[data[:end]] = self.last_token(data, end, before)
-        out, end = [], n
+            table[data[:end]] = self.last_token(data, end, lambda k: table[data[:k]])
+        out, end, bytes_of = [], n, self.bytes_of
         while end:
-            out.append(before(end))
-            end -= len(self.bytes_of[out[-1]])
+            out.append(table[data[:end]])
+            end -= len(bytes_of[out[-1]])
         return out[::-1]
 
     def append(self, data: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
@@ -210,24 +204,11 @@ class PrefixBPE:
     def encode(self, text: str) -> list[int]:
         return [t for p in self.pattern.findall(text) for t in self.encode_piece(p.encode())]
 
-    def by_words(self, text: str) -> list[tuple[str, array, bool]]:
-        """Encodings of the text's parts between spaces: (decimal ids, ids, whether it ends with white space).
-
-        No piece of the pattern goes on past a space unless white space stands
-        before it; a text with such a place is one part.
-        """
-        words = text.split(" ")
-        first, known = words[0], self.words
+    def by_pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """Encodings of the text's pieces: (decimal ids, their bytes as int32)."""
+        known = self.pieces
         known.age()
-        got = [self.part(first)] if first else []
-        got += [known[w] for w in words[1:]]
-        if any([x[2] for x in got[:-1]]) or got and got[-1][2] and len(words) > 1:
-            return [self.part(text)]
-        return got
-
-    def part(self, text: str) -> tuple[str, array, bool]:
-        ids = self.encode(text)
-        return ",".join(map(str, ids)), array("i", ids), text[-1:].isspace()
+        return [known[p] for p in self.pattern.findall(text)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -262,7 +243,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
         for b in slices(batches):
             n, flat, sums, back = [], [], [], []
             for text in b.column(len(kinds)).to_pylist():
-                got = e.by_words(text or "")
+                got = e.by_pieces(text or "")
                 own = array("i", b"".join([x[1] for x in got]))
                 n.append(len(own))
                 if ids:
