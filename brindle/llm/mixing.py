@@ -3,24 +3,29 @@
 A source of weight w gives its i-th block between slot floor((i-1)/w), its
 release, and slot ceil(i/w), its deadline; every slot goes to the released block
 with the earliest deadline. Each source is then less than one block from its
-target at every slot. With weights in parts of a period the schedule repeats, so
-one period is scheduled and the slot of any block follows by arithmetic.
+target at every slot. Releases and deadlines follow from the exact weights, as
+fractions, over the whole length; one task schedules all blocks in turn, holding
+one block a source.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import floor
+from fractions import Fraction
+from math import floor, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents a block, slots a period, hash buckets within which a source's documents are ranked, exponent of the default weights.
+#: Documents a block, slots given out at a time, hash buckets within which a source's documents are ranked, exponent of the default weights.
 BLOCK, PERIOD, BUCKETS, TEMPER = 64, 4096, 1024, 0.7
+#: Up to so many blocks are broadcast to where the documents are; more are shuffled.
+BROADCAST = 300_000
 
 
 def parts(weights: dict, period: int = PERIOD) -> dict:
-    """Slots of each source in a period: by largest remainders, at least one for a positive weight."""
+    """Weights rounded to slots of a period, by largest remainders, at least one for a positive weight; for plans that repeat."""
     live = {k: v for k, v in weights.items() if v > 0}
     if any(v < 0 for v in weights.values()) or not live:
         raise ValueError("weights must not be negative, and one must be positive")
@@ -61,18 +66,53 @@ def schedule(shares: dict) -> list:
     return out
 
 
+def places(sizes: dict, weights: dict, block: int = BLOCK):
+    """(source, block, slot, exact) of every block of the sources with a positive weight, in the order of the slots.
+
+    ``sizes``: documents by source. Exact until the first slot for which a source lacks
+    a whole block. From there on a source that has run out leaves its slots to the others,
+    which keep their releases and deadlines; slots that none is released for stay empty.
+    """
+    names = sorted((k for k, n in sizes.items() if n > 0 and weights.get(k, 0) > 0), key=lambda k: (str(k), k is None))
+    parts_of = [Fraction(weights[k]) for k in names]
+    whole = lcm(*[x.denominator for x in parts_of])
+    w = [x.numerator * (whole // x.denominator) for x in parts_of]
+    total = sum(w)
+    full, last = [sizes[k] // block for k in names], [-(-sizes[k] // block) for k in names]
+    waiting: list = []
+    ready = [(-(-total // w[j]), j, 0) for j in range(len(names))]
+    heapq.heapify(ready)
+    slot, exact = 0, True
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, j, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // w[j]), j, i))
+        deadline, j, i = heapq.heappop(ready)
+        if slot >= deadline:
+            raise AssertionError("a deadline was missed")
+        exact = exact and i < full[j]
+        if i < last[j]:
+            yield names[j], i, slot, exact
+        if exact or i + 1 < last[j]:
+            heapq.heappush(waiting, ((i + 1) * total // w[j], j, i + 1))
+        slot += 1
+
+
 def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, buckets: int = BUCKETS, temper: float = TEMPER, keep: tuple[str, ...] = ()) -> DataFrame:
     """Place of every document in the mix; none is dropped or repeated.
 
     Columns: id, source, those of ``keep``, block (of its source), slot, seq (within the
     block) and exact. Reading in the order (slot, seq) interleaves the blocks; up to the
     slot where a first source has run out (``exact``) every source is less than a block
-    from its target, after it the other sources go on in their proportions.
+    from its target, after it the other sources keep to their targets and the slots of that source are
+    theirs or empty.
     ``weights``: by source; without them the sources' sizes to the power ``temper``.
     A null source is one source of its own (weights key None); a source without a
     positive weight comes after all slots (slot null, exact false). Documents of a source
     are ordered by a hash of their id, repeated ids at random among themselves.
-    The number of sources is bounded by the period (an error beyond it).
+    ``period``: slots that the scheduling task gives out at a time.
     """
     flat = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *[F.col(c).alias(f"__k_{c}") for c in keep])
     flat = flat.withColumn("__hash", F.xxhash64("__id")).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
@@ -90,26 +130,22 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     out = [F.col("__id").alias(id_col), F.col("__source").alias(source_col), *[F.col(f"__k_{c}").alias(c) for c in keep], "block", "slot", "seq", F.coalesce("exact", F.lit(False)).alias("exact")]
     if not any(w > 0 for w in given.values()):
         return ranked.withColumn("slot", F.lit(None).cast("bigint")).withColumn("exact", F.lit(False)).select(*out)
-    shares = parts(given, period)
-    nth: dict = {}
-    rows = []
-    for slot, k in enumerate(schedule(shares)):
-        nth[k] = nth.get(k, -1) + 1
-        rows.append((k, nth[k], slot))
-    of = {(k, i): s for k, i, s in rows}
-    ends = []
-    for k, n in shares.items():
-        blocks = per_source[k] // block  # whole ones
-        ends.append((blocks // n) * period + of[k, blocks % n])
-    end = min(ends)
-    # one row a slot of the period: at most ``period`` rows are broadcast
-    table = spark.createDataFrame([(None if k is None else str(k), i, s) for k, i, s in rows], "s string, i bigint, place bigint")
-    widths = F.broadcast(spark.createDataFrame([(None if k is None else str(k), n) for k, n in shares.items()], "ws string, width bigint"))
-    ranked = ranked.join(widths, ranked["__source"].cast("string").eqNullSafe(widths["ws"]), "left").drop("ws")
-    ranked = ranked.withColumn("__i", F.col("block") % F.col("width"))
-    table = F.broadcast(table)
-    ranked = ranked.join(table, ranked["__source"].cast("string").eqNullSafe(table["s"]) & (ranked["__i"] == table["i"]), "left").drop("s", "i")
-    ranked = ranked.withColumn("slot", F.floor(F.col("block") / F.col("width")) * period + F.col("place")).withColumn("exact", F.col("slot") < end)
+    def run(batches):
+        for _ in batches:
+            rows: list = []
+            for k, i, slot, exact in places(per_source, given, block):
+                rows.append((None if k is None else str(k), i, slot, exact))
+                if len(rows) == period:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    schema = pa.schema([("s", pa.string()), ("i", pa.int64()), ("slot", pa.int64()), ("exact", pa.bool_())])
+    table = spark.range(0, 1, 1, 1).mapInArrow(run, "s string, i bigint, slot bigint, exact boolean")
+    if sum(-(-per_source[k] // block) for k, w in given.items() if w > 0) <= BROADCAST:
+        table = F.broadcast(table)
+    ranked = ranked.join(table, ranked["__source"].cast("string").eqNullSafe(table["s"]) & (ranked["block"] == table["i"]), "left").drop("s", "i")
     return ranked.select(*out)
 
 

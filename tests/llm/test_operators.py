@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -257,6 +258,39 @@ def test_mixing():
     assert done == shares
 
 
+def test_mixing_keeps_to_unrounded_weights():
+    # a source of a share far below a slot of 4,096, and weights that no short period holds
+    weights = {"hot": 1 / 3, "rare": 0.00003, None: 0.017, **{f"s{i}": 0.031 + i * 1e-7 for i in range(20)}}
+    sizes = {k: 40 + round(3_000_000 * w) for k, w in weights.items()}
+    total = sum(map(Fraction, weights.values()))
+    share = {k: Fraction(w) / total for k, w in weights.items()}
+    done, slots, exact = collections.Counter(), set(), 0
+    for k, i, slot, sure in mixing.places(sizes, weights, 16):
+        assert i == done[k] and i // share[k] <= slot < -(-(i + 1) // share[k]) and slot not in slots
+        done[k] += 1
+        slots.add(slot)
+        exact += sure
+        if sure:
+            assert slot + 1 == exact
+            if slot % 97 == 0:
+                assert all(abs(done[s] - x * exact) < 1 for s, x in share.items())
+    assert exact > 20 * mixing.PERIOD and done == {k: -(-n // 16) for k, n in sizes.items()}
+
+
+def test_mixing_rows_keep_to_unrounded_weights(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise(F.lit(None)).alias("source"))
+    weights = {"a": 0.5, "b": 0.3337, None: 0.1663}
+    want = {(k, i): (slot, exact) for k, i, slot, exact in mixing.places({k: 2000 for k in weights}, weights, 4)}
+    for most in (mixing.BROADCAST, 0):
+        monkeypatch.setattr(mixing, "BROADCAST", most)
+        rows = mixing.mix(docs, block=4, period=8, weights=weights).collect()
+        assert len(rows) == 6000 and {(r.source, r.block): (r.slot, r.exact) for r in rows} == want
+    done, total = collections.Counter(), sum(weights.values())
+    for t, k in enumerate((k for slot, k in sorted((s, k) for (k, _), (s, exact) in want.items() if exact)), 1):
+        done[k] += 1
+        assert all(abs(done[s] - w / total * t) < 1 for s, w in weights.items())
+
+
 def test_mixing_of_documents(docs):
     rows = mixing.mix(docs, block=2, period=100, weights={f"src{i}": i for i in range(20)}).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
