@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, sorted_set, text_or_empty
-from .pairs import similar_pairs
+from .pairs import SKETCH, similar_pairs
 
-#: Characters a shingle, least similarity, hashes a band, bands. A pair at 0.8 is missed with probability 0.005, at 0.9 with 0.00002.
-CHARS, THRESHOLD, ROWS, BANDS = 8, 0.8, 4, 10
+#: Characters a shingle, least similarity, hashes a band, bands. A pair at 0.8 is missed with probability 0.004, at 0.9 with 0.000001.
+#: With 4 characters one edit in a line of 40 leaves 0.8, and unlike lines of 80,000 stay below 0.7; they share so much that bands need 6 hashes.
+CHARS, THRESHOLD, ROWS, BANDS = 4, 0.8, 6, 18
+#: Turns in which the bands are dealt out by key, so that the disk holds the rows of a part of them at a time.
+TURNS = 3
 #: Up to so many wanted lines are broadcast to where the texts are read (16 bytes each); more are shuffled.
 BROADCAST = 300_000
 #: Lines a task remembers, so as not to give the keys of a copy again.
@@ -42,8 +45,8 @@ def shingles(line: str, k: int = CHARS) -> np.ndarray:
     return sorted_set(runs_hash(c, min(k, len(c)))) if len(c) else np.empty(0, U64)
 
 
-def band_keys(lines: list[str], k: int = CHARS) -> np.ndarray:
-    """Keys of the bands of several lines at once, a row a line; lines aren't empty."""
+def band_keys(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of several lines at once, and their sketches, a row a line; lines aren't empty."""
     h, edges, at = [], [], 0
     long = [x for x in lines if len(x) >= k]
     if long:
@@ -69,11 +72,11 @@ def band_keys(lines: list[str], k: int = CHARS) -> np.ndarray:
         for r in range(ROWS):
             key = mix64(key ^ sig[b * ROWS + r].astype(U64))
         out[:, b] = key
-    return out
+    return out, (sig[:SKETCH] >> np.uint32(4)).astype(np.uint8).T
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a line that isn't blank: line (digest of its normal form), doc, pos, keys (empty where the task had the line a while ago)."""
+    """One row a line that isn't blank: line (digest of its normal form), doc, pos, keys and sketch (empty where the task had the line a while ago)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -96,28 +99,42 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 seen.add(d)
                                 fresh.append(x)
                     counts.append(n)
-                keys = []
+                keys, sketches = [], []
                 at = size = 0
                 for i, x in enumerate(fresh):  # about 64 KB at a time stay in the cache
                     size += len(x)
                     if size > 1 << 14 or i + 1 == len(fresh):
-                        keys.append(band_keys(fresh[at : i + 1]))
+                        k, sketch = band_keys(fresh[at : i + 1])
+                        keys.append(k)
+                        sketches += [x.tobytes() for x in sketch]
                         at, size = i + 1, 0
                 flat = np.concatenate(keys).reshape(-1).view(np.int64) if keys else np.empty(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.array(is_new, np.int64) * BANDS)])
                 cols = [pa.array(digests, pa.binary()), b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols, names=["line", "doc", "pos", "keys"])
+                given = iter(sketches)
+                cols.append(pa.array([next(given) if new else None for new in is_new], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["line", "doc", "pos", "keys", "sketch"])
 
-    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, doc {kind}, pos int, keys array<bigint>")
+    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, doc {kind}, pos int, keys array<bigint>, sketch binary")
 
 
 def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(doc, gone): numbers of the lines of each document of which the component has an earlier one."""
     table = scratch.store(line_table(docs, id_col, text_col), "lines")
-    rows = table.select(F.col("line").alias("id"), F.hash("line").alias("half"), F.explode("keys").alias("key"))
-    # a key counts if two different lines have it, told by 32 bits of each; copies of one line fall together before the shuffle
-    shared = rows.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("key")
-    keyed = scratch.store(rows.select("key", "id").join(shared, "key").distinct(), "keyed")
+    keyed = None
+    for turn in range(TURNS):
+        rows = table.select(F.col("line").alias("id"), F.hash("line").alias("half"), F.explode(F.slice("keys", turn * BANDS // TURNS + 1, BANDS // TURNS)).alias("key"))
+        # a key counts if two different lines have it, told by 32 bits of each; copies of one line fall together before the shuffle
+        shared = rows.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("key")
+        shared = scratch.store(shared, f"shared-{turn}")  # frees what was shuffled for it
+        part = scratch.store(rows.select("key", "id").join(shared, "key").distinct(), f"keyed-{turn}")
+        scratch.drop(shared)
+        keyed = part if keyed is None else keyed.unionByName(part)
+    # sketches rule out unlike lines before their texts are read; sizes aren't known yet and count as equal
+    light = table.where("sketch is not null").select(F.col("line").alias("id"), "sketch").join(keyed.select("id").distinct(), "id", "left_semi")
+    light = scratch.store(light.groupBy("id").agg(F.lit(1).cast("bigint").alias("n"), F.first("sketch").alias("sketch")), "light")
+    places = scratch.store(table.select("line", "doc", "pos"), "places")
+    scratch.drop(table)
 
     def bodies(ids: DataFrame) -> DataFrame:
         ids = scratch.store(ids, "wanted")
@@ -135,10 +152,10 @@ def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, t
         lines = docs.select(text_or_empty(text_col).alias("__text")).mapInArrow(texts, "id binary, body string")
         return scratch.store(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.lit(1).cast("bigint").alias("copies"), F.first("body").alias("body")), "bodies")
 
-    _, edges = similar_pairs(scratch, keyed, None, bodies, shingles, threshold, "lines")
+    _, edges = similar_pairs(scratch, keyed, light, bodies, shingles, threshold, "lines")
     roots = components(scratch, edges)
-    scratch.drop_named("keyed", "wanted", "bodies", "lines-links")
-    own = table.select("line", "doc", "pos").join(roots, F.col("line") == F.col("node"), "left").select(F.coalesce("root", "line").alias("part"), "doc", "pos")
+    scratch.drop_named(*[f"keyed-{turn}" for turn in range(TURNS)], "light", "wanted", "bodies", "lines-links")
+    own = places.join(roots, F.col("line") == F.col("node"), "left").select(F.coalesce("root", "line").alias("part"), "doc", "pos")
     firsts = own.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).where("n > 1").select("part", "first")
     gone = own.join(firsts, "part").where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
     return gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("gone"))

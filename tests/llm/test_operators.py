@@ -83,6 +83,24 @@ def test_line_dedup_is_brute_force(docs):
     assert got == {d: want[d] for d in got}
 
 
+def test_line_dedup_finds_short_lines_with_one_edit(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(2, 8)))
+    rows = []
+    for i in range(120):
+        n = 40 + i % 61
+        x = ""
+        while len(x) < n:
+            x += word() + " "
+        x = x[: n - 1] + "."
+        at = random.randrange(1, n - 1)
+        rows += [(i, x), (1000 + i, x[:at] + random.choice(["", "#", "#" + x[at]]) + x[at + 1 :])]
+    long = [(5000 + i, " ".join(word() for _ in range(4000))) for i in range(6)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows + long, "doc_id bigint, text string")).collect()}
+    assert sum(got[1000 + i] for i in range(120)) >= 117
+    assert not any(got[i] for i in range(120)) and not any(got[i] for i, _ in long)
+
+
 def test_join_is_brute_force(docs):
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.join(docs).collect()}
     sets = {r.doc_id: set(ngramjoin.shingles(r.text).tolist()) for r in docs.collect()}
