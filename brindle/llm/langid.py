@@ -23,6 +23,8 @@ UNKNOWN = "und"
 SAMPLE, DIMENSIONS, CENTROIDS, LANGUAGES = 6_000, 1 << 12, 4, 200
 #: A text is rejected if its cosine is below this share of the cosine that MARGIN of its language's training texts reach.
 SLACK, MARGIN = 0.5, 0.995
+#: A text of fewer n-grams has its bound lowered in proportion, as few n-grams say little.
+ENOUGH = 100
 #: Characters worked on at once; counts add up, so the whole text is read whatever its length.
 CHUNK = 1 << 18
 
@@ -53,8 +55,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def vector(text: str, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts(text, len(idf))) * idf
+def vector(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = np.log1p(n) * idf
     return x / (np.sqrt(x @ x) or 1.0)
 
 
@@ -63,16 +65,17 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one a row, of length 1
     lang: list[str]  # of each centroid
-    least: np.ndarray  # cosine below which a text of the centroid is rejected
+    least: np.ndarray  # cosine below which a text of the centroid with ENOUGH n-grams is rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected). No letters: unknown, 0, rejected."""
         if not text or not len(self.lang) or not has_letter(text):
             return UNKNOWN, 0.0, True
-        near = self.centroids @ vector(text, self.idf)
+        n = counts(text, len(self.idf))
+        near = self.centroids @ vector(n, self.idf)
         best = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[best])))
-        return self.lang[best], round(score, 9), score < self.least[best]
+        return self.lang[best], round(score, 9), score < self.least[best] * min(1.0, n.sum() / ENOUGH)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

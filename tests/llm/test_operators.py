@@ -194,6 +194,12 @@ def test_language_id(docs):
     assert got[1].lang_pred == got[2].lang_pred == "und" and got[3].rejected
 
 
+def test_language_id_keeps_short_clean_documents(spark):
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ~langid.held_out())
+    assert [t for t in ("This.", "Avec.", "Edrere.", "A.", "A.\nAll rights reserved.") if model.predict(t)[2]] == []
+    assert all(model.predict(t)[2] for t in ("日本語のテキストです" * 5, "Съешь ещё этих мягких французских булок, да выпей чаю. " * 3))
+
+
 def test_private_data_is_the_patterns():
     cues = pii.automaton()
     random.seed(3)
