@@ -29,8 +29,11 @@ WORD = re.compile(r"\w+")
 
 
 def recall(level: int, threshold: float = THRESHOLD, pick: float = PICK) -> float:
-    """Probability that one run finds a pair at the threshold: a branching process of shared picks."""
-    shared = pick * 2 * threshold / (1 + threshold)
+    """Least probability that one run finds a pair at the threshold: a branching process of shared picks.
+
+    Fewest picks are shared where one set contains the other, as both pick at the rate of the larger one.
+    """
+    shared = pick * threshold
     p = 1.0
     for _ in range(level):
         p = 1 - math.exp(-shared * p)

@@ -120,6 +120,15 @@ def test_join_is_brute_force(docs):
     assert got == {a: (want[a], len(links[a])) for a in sets}
 
 
+def test_join_runs_suffice_for_nested_sets():
+    small, large = np.arange(1, 401, dtype=np.uint64), np.arange(1, 501, dtype=np.uint64)
+    shared = ngramjoin.PICK * len(small) / len(large)  # of the large set's picks, those that lie in the small one
+    p = 1.0
+    for _ in range(ngramjoin.LEVELS):
+        p = 1 - np.exp(-shared * p)
+    assert (1 - p) ** ngramjoin.runs_needed() <= ngramjoin.MISS
+
+
 def test_dense_groups_and_cells(spark, monkeypatch):
     from brindle.llm import pairs
 
