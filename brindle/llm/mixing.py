@@ -112,14 +112,19 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     A null source is one source of its own (weights key None); a source without a
     positive weight comes after all slots (slot null, exact false). Documents of a source
     are ordered by a hash of their id, repeated ids at random among themselves.
-    ``period``: slots that the scheduling task gives out at a time.
+    ``period``: slots that the scheduling task gives out at a time. The number of sources
+    isn't bounded; the driver and that task hold a number for each that has a weight.
     """
     flat = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *[F.col(c).alias(f"__k_{c}") for c in keep])
     flat = flat.withColumn("__hash", F.xxhash64("__id")).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     # a source's documents are ranked bucket by bucket, so that none is ranked in one task
     sizes = flat.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
-    per_source = {r[0]: r[1] for r in sizes.groupBy("__source").agg(F.sum("n")).limit(100 * period).collect()}
     spark = docs.sparkSession
+    known = sizes
+    if weights:
+        wanted = spark.createDataFrame([(None if k is None else str(k),) for k in weights], "ws string")
+        known = sizes.join(F.broadcast(wanted), F.col("__source").cast("string").eqNullSafe(F.col("ws")), "left_semi")
+    per_source = {r[0]: r[1] for r in known.groupBy("__source").agg(F.sum("n")).collect()}
     given = weights if weights is not None else {k: n**temper for k, n in per_source.items()}
     given = {k: w for k, w in given.items() if k in per_source}
     base = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))

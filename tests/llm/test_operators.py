@@ -324,6 +324,15 @@ def test_mixing_rows_keep_to_unrounded_weights(spark, monkeypatch):
         assert all(abs(done[s] - w / total * t) < 1 for s, w in weights.items())
 
 
+def test_mixing_of_many_sources(spark):
+    many = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), F.col("id") % 5000).alias("source"))
+    slots = [r.slot for r in mixing.mix(many).select("slot", "source").distinct().collect()]
+    assert None not in slots and len(set(slots)) == len(slots) == 5000
+    few = many.where("doc_id < 300")
+    rows = mixing.mix(few, period=1, weights={f"site{i}": 1 + i for i in range(300)}).collect()
+    assert len(rows) == 300 and all(r.slot is not None for r in rows)
+
+
 def test_mixing_of_documents(docs):
     rows = mixing.mix(docs, block=2, period=100, weights={f"src{i}": i for i in range(20)}).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
