@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import remember, slices
 
-#: Pieces and byte prefixes remembered by a worker, characters of a piece worth remembering; beyond that the memory starts anew. Results don't depend on it.
-PIECES, PREFIXES, LONG = 120_000, 400_000, 64
+#: Pieces, byte prefixes and pairs of tokens remembered by a worker, characters of a piece worth remembering; beyond that the memory starts anew. Results don't depend on it.
+PIECES, PREFIXES, NEIGHBOURS, LONG = 100_000, 200_000, 300_000, 64
 #: Lengths that are always worth a look.
 SHORT = (3, 2, 1)
 
@@ -112,7 +112,7 @@ class PrefixBPE:
         the leftmost merge goes first).
         """
         if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > NEIGHBOURS:
                 self.fits.clear()
             a, b, rank = self.edge(left), self.edge(right), self.ranks.get
             known = a is not None and b is not None
@@ -214,14 +214,12 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_ENGINES: dict[tuple, PrefixBPE] = {}
-
-
 def engine(path: str, pattern: str) -> PrefixBPE:
-    """One engine a process."""
-    if (path, pattern) not in _ENGINES:
-        _ENGINES[path, pattern] = PrefixBPE(read_ranks(path), pattern)
-    return _ENGINES[path, pattern]
+    """One engine a process, as long as the process serves this operator."""
+    known = remember("bpe")
+    if (path, pattern) not in known:
+        known[path, pattern] = PrefixBPE(read_ranks(path), pattern)
+    return known[path, pattern]
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,12 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 MIX = U64(0x9E3779B97F4A7C15)
+#: Spark's setting by which the shuffle files of a finished query are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with more than one in so many rows is joined by broadcast; there are fewer such keys than this.
+HOT = 512
+#: What this process remembers between tasks, by the operator that owns it.
+REMEMBERED: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +56,10 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         fs, at = self._fs(path)
         fs.deleteOnExit(at)
-        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep.append(out)
@@ -68,6 +77,53 @@ class Scratch:
             self.drop(t)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run within lose their shuffle files when they end, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def hot_join(scratch: Scratch, many: DataFrame, one: DataFrame, on: list[str], n: str, name: str) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row a key and in ``n`` the number of its rows in ``many``.
+
+    Keys with more than a 512th of all rows, so fewer than 512 keys, are broadcast; the
+    others are shuffled, none of which is large. ``many`` should be a stored table, as it
+    is read twice where there are hot keys.
+    """
+    one = scratch.store(one, name)
+    total, most = one.agg(F.sum(n), F.max(n)).first()
+    if (most or 0) * HOT <= (total or 0):
+        return many.join(one, on)
+    is_hot = F.col(n) * HOT > F.lit(total)
+    hot = one.where(is_hot)
+    cold = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(one.where(~is_hot), on)
+    return many.join(F.broadcast(hot), on).unionByName(cold)
+
+
+def remember(owner: str) -> dict:
+    """What this worker keeps for ``owner`` from task to task. What other operators kept is forgotten, so a reused worker holds one operator's tables."""
+    others = [k for k in REMEMBERED if k != owner]
+    if others:
+        for k in others:
+            del REMEMBERED[k]
+        trim()
+    return REMEMBERED.setdefault(owner, {})
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -121,7 +177,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most_rounds
     Distributed union-find by alternating large-star and small-star rounds. Each
     partition first unites its own edges, so that long chains are short before
     anything is shuffled. A round reads minima by aggregation and joins them
-    back; no node's neighbours are ever gathered. Any orderable id type works.
+    back, those of nodes with very many neighbours by broadcast; no node's
+    neighbours are ever gathered. Any orderable id type works.
     Nodes without an edge to another node aren't returned.
     """
     kind = edges.schema["a"].dataType.simpleString()
@@ -148,27 +205,29 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most_rounds
                 rx, ry = find(x), find(y)
                 if rx != ry:
                     parent[max(rx, ry)] = min(rx, ry)
-            if len(parent) > 400_000 and (t := flush()) is not None:
+            if len(parent) > 200_000 and (t := flush()) is not None:
                 yield from t.to_batches()
         if (t := flush()) is not None:
             yield from t.to_batches()
 
     now = edges.select("a", "b").where(F.col("a") != F.col("b"))
     now = scratch.store(now.mapInArrow(local, f"a {kind}, b {kind}"), f"{name}-0")
+    same, before = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))), None
     for k in range(1, most_rounds):
         # large star: what is above u goes to the least of u and its neighbours
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        both = now.select(F.col("a").alias("u"), "b").unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("b")))
+        least = both.groupBy("u").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(scratch, both, least, ["u"], "n", f"{name}-least-{k}").where(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: what is below u, and u, go to the least of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
         low = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         j = down.join(low, down.a == low.u)
         small = j.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         new = scratch.store(small, f"{name}-{k}")
-        same = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-        done = new.agg(same).first()[0] == now.agg(same).first()[0]
+        after = new.agg(same).first()[0]
+        done, before = after == before, after
         scratch.drop(now)
+        scratch.drop_named(f"{name}-least-{k}")
         now = new
         if done:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

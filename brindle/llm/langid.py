@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, slices, text_or_empty
+from .common import MIX, U64, remember, slices, trim
 
 UNKNOWN = "und"
-#: Rows of the training sample, for all languages together; hashed dimensions; centroids a language.
-SAMPLE, DIMENSIONS, CENTROIDS, LANGUAGES = 6_000, 1 << 12, 4, 200
+#: Rows of the training sample at most, for all languages together; hashed dimensions; centroids a language.
+SAMPLE, DIMENSIONS, CENTROIDS = 4_000, 1 << 12, 4
 #: A text is rejected if its cosine is below this share of the cosine that MARGIN of its language's training texts reach.
 SLACK, MARGIN = 0.5, 0.995
 #: A text of fewer n-grams has its bound lowered in proportion, as few n-grams say little.
@@ -97,24 +97,29 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dims: int = DIMENSIONS, centroids: int = CENTROIDS, most_languages: int = LANGUAGES) -> Model:
-    """Fit on a bounded sample of the rows where ``train`` holds and text and language are known.
+def training_rows(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """(l, h, t): at most ``sample`` different labelled rows, as many of each language if it has them, those with the least hash of id and text.
 
-    Of each language at most ``sample`` / (number of languages) rows, those with the least
-    hash of their id, are read as sparse vectors; the rest of the fit is arithmetic on
-    them. At most ``most_languages`` languages are learned, the most frequent first.
+    Of more languages than ``sample`` the most frequent take part. Repeated rows count once.
     """
-    known = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
-    if not sizes:
-        return Model(np.zeros(dims), np.zeros((0, dims)), [], np.zeros(0))
-    each = max(1, sample // len(sizes))
+    known = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample).collect()
+    each = sample // max(1, len(sizes))
     # rows with a hash below the share that gives about twice the wanted number, then exactly the least ones
-    part = None
-    for r in sizes:
-        share = min(1.0, 2.0 * each / r["count"] + 20.0 / r["count"])
-        own = (F.col("l") == r["l"]) & (F.xxhash64(F.col("i")).bitwiseAND((1 << 62) - 1) <= int(share * ((1 << 62) - 1)))
-        part = own if part is None else part | own
+    shares = [(r["l"], int(min(1.0, (2.0 * each + 20.0) / r["count"]) * ((1 << 62) - 1))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(shares, "l string, bound bigint")
+    few = known.join(F.broadcast(bounds), "l").where(F.col("h").bitwiseAND((1 << 62) - 1) <= F.col("bound"))
+    few = few.groupBy("l", "h").agg(F.first("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    return few.withColumn("r", rank).where(F.col("r") <= each).select("l", "h", "t")
+
+
+def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dims: int = DIMENSIONS, centroids: int = CENTROIDS) -> Model:
+    """Fit on a bounded sample of the rows where ``train`` holds and text and language are known.
+
+    The sample (``training_rows``: at most ``sample`` rows in all, whatever ids or texts
+    repeat) is read as sparse vectors; the rest of the fit is arithmetic on them.
+    """
 
     def sparse(batches):
         for b in slices(batches, 64):
@@ -122,43 +127,48 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
             for text in b.column(2).to_pylist():
                 x = counts(text, dims) if has_letter(text) else np.zeros(dims)
                 j = np.nonzero(x)[0]
-                at.append(j.astype(np.int32))
+                at.append(j.astype(np.int16 if dims <= 1 << 15 else np.int32))
                 value.append(x[j].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["l", "h", "at", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(small)), pa.array(value, pa.list_(pa.float32()))], names=["l", "h", "at", "value"])
 
-    got = known.where(part).select("l", F.xxhash64("i").alias("h"), "t").mapInArrow(sparse, "l string, h bigint, at array<int>, value array<float>").toArrow()
-    order = np.lexsort([got["h"].to_numpy()])
+    small, name = (pa.int16(), "smallint") if dims <= 1 << 15 else (pa.int32(), "int")
+    picked = training_rows(docs, train, id_col, text_col, lang_col, sample)
+    got = picked.mapInArrow(sparse, f"l string, h bigint, at array<{name}>, value array<float>").toArrow()
+    order = np.argsort(got["h"].to_numpy(), kind="stable")
     langs = got["l"].to_pylist()
     rows: dict[str, list[int]] = {}
     for i in order:
-        if len(rows.setdefault(langs[i], [])) < each:
-            rows[langs[i]].append(int(i))
+        rows.setdefault(langs[i], []).append(int(i))
     at, value = got["at"].combine_chunks(), got["value"].combine_chunks()
-    raw = {}
-    for lang, own in sorted(rows.items()):
+
+    def dense(own: list[int]) -> np.ndarray:
         x = np.zeros((len(own), dims), np.float32)
         for j, i in enumerate(own):
             x[j, at[i].values.to_numpy()] = value[i].values.to_numpy()
-        x = x[x.any(1)]
-        if len(x):
-            raw[lang] = x
-    if not raw:
-        return Model(np.zeros(dims), np.zeros((0, dims)), [], np.zeros(0))
-    n = sum(map(len, raw.values()))
-    df = sum((x > 0).sum(0) for x in raw.values())
-    idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
+        return x[x.any(1)]
+
+    n, df = 0, np.zeros(dims)
+    for own in rows.values():
+        x = dense(own)
+        n, df = n + len(x), df + (x > 0).sum(0)
+    idf = (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
     out, names, least = [], [], []
-    for lang, x in raw.items():
-        x = np.log1p(x) * idf
+    for lang, own in sorted(rows.items()):
+        x = dense(own)
+        if not len(x):
+            continue
+        np.log1p(x, out=x)
+        x *= idf
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         c = kmeans(x, centroids)
-        near = x @ c.T
-        best = np.sort(near.max(1))
+        best = np.sort((x @ c.T).max(1))
         for j in range(len(c)):
-            out.append(c[j])
+            out.append(c[j].astype(np.float64))
             names.append(lang)
-            least.append(SLACK * best[int((1 - MARGIN) * len(best))])
-    return Model(idf, np.stack(out), names, np.array(least))
+            least.append(SLACK * float(best[int((1 - MARGIN) * len(best))]))
+        del x
+    trim()
+    return Model(idf.astype(np.float64), np.stack(out) if out else np.zeros((0, dims)), names, np.array(least))
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -170,6 +180,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     kinds = dict(docs.select(id_col, *keep).dtypes)
 
     def run(batches):
+        remember("langid")
         for b in slices(batches):
             got = [model.predict(t) for t in b.column(len(kinds)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kinds)], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([bool(x[2]) for x in got], pa.bool_())], names=[*kinds, "lang_pred", "score", "rejected"])
@@ -191,6 +202,7 @@ def reject(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     at = [c.lower() for c in cols].index(text_col.lower())  # the text is read out of the row, so that it passes once
 
     def run(batches):
+        remember("langid")
         for b in slices(batches):
             got = [model.predict(t) for t in b.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([bool(x[2]) for x in got], pa.bool_())], names=["__row", "__lang", "__out"])

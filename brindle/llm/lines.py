@@ -4,6 +4,12 @@ Lines are compared as sets of character shingles of their normal form (lower
 case, single blanks). Signatures are cut into bands with high recall; lines that
 share a band are verified by exact Jaccard similarity; distributed union-find
 joins what is similar, and one line of each component stays.
+
+Shingles of 4 characters let short lines bear an edit, but long unlike lines share
+many of them; those of 8 tell long lines apart. So lines are compared by 4-shingles
+if their different words have up to 200 characters, by 8-shingles if they have over
+160, and by both in between. Lines on either side of both bounds are too unlike in
+what they say to be copies, and aren't compared.
 """
 
 from __future__ import annotations
@@ -14,21 +20,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, sorted_set, text_or_empty
-from .pairs import SKETCH, similar_pairs
+from .common import MIX, U64, Scratch, components, hot_join, mix64, remember, runs_hash, slices, sorted_set, text_or_empty
+from .pairs import similar_pairs
 
-#: Characters a shingle, least similarity, hashes a band, bands. A pair at 0.8 is missed with probability 0.004, at 0.9 with 0.000001.
-#: With 4 characters one edit in a line of 40 leaves 0.8, and unlike lines of 80,000 stay below 0.7; they share so much that bands need 6 hashes.
-CHARS, THRESHOLD, ROWS, BANDS = 4, 0.8, 6, 18
+#: Least similarity. Characters a shingle, hashes a band and bands of lines with few shingles, and of lines with many.
+#: A pair at 0.8 is missed with probability 0.004 and 0.002, one at 0.9 with 0.000001 or less.
+THRESHOLD, FEW, MANY = 0.8, (4, 6, 18), (8, 4, 12)
+#: Lines whose different words have more characters than this, and up to a quarter more, are of both kinds; characters of a word that count.
+BORDER, WORD = 160, 32
+#: Bytes of a line's sketch, from its first hashes.
+SKETCH = 48
 #: Turns in which the bands are dealt out by key, so that the disk holds the rows of a part of them at a time.
-TURNS = 3
+TURNS = 2
 #: Up to so many wanted lines are broadcast to where the texts are read (16 bytes each); more are shuffled.
 BROADCAST = 300_000
 #: Lines a task remembers, so as not to give the keys of a copy again.
-REMEMBERED = 200_000
-
-_ODD = (mix64(np.arange(1, ROWS * BANDS + 1, dtype=U64) * MIX) | U64(1)).astype(np.uint32)[:, None]
-_ADD = mix64(np.arange(1001, ROWS * BANDS + 1001, dtype=U64) * MIX).astype(np.uint32)[:, None]
+SEEN = 200_000
 
 
 def normal(line: str) -> str:
@@ -39,15 +46,35 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def shingles(line: str, k: int = CHARS) -> np.ndarray:
+def shingles(line: str, k: int) -> np.ndarray:
     """The set of hashed character shingles of a normal form; a shorter line is one shingle."""
     c = code_points(line).astype(U64)
     return sorted_set(runs_hash(c, min(k, len(c)))) if len(c) else np.empty(0, U64)
 
 
-def band_keys(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+def kinds(words: list[str]) -> tuple[int, ...]:
+    """Characters of the shingles by which a line of these words is compared."""
+    n = 0
+    for own in (words[:99], words) if len(words) > 99 else (words,):  # the start tells nearly always
+        n = sum([min(len(w), WORD) + 1 for w in set(own)])
+        if n > BORDER * 5 // 4:
+            return (MANY[0],)
+    return (FEW[0],) if n <= BORDER else (FEW[0], MANY[0])
+
+
+def multipliers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (mix64(np.arange(1, n + 1, dtype=U64) * MIX + U64(k)) | U64(1)).astype(np.uint32)[:, None], mix64(np.arange(1001, n + 1001, dtype=U64) * MIX + U64(k)).astype(np.uint32)[:, None]
+
+
+#: Multipliers and summands of the hashes by shingle length.
+_HASHES = {k: multipliers(k, rows * bands) for k, rows, bands in (FEW, MANY)}
+
+
+def band_keys(lines: list[str], how: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands of several lines at once, and their sketches, a row a line; lines aren't empty."""
-    h, edges, at = [], [], 0
+    k, rows, bands = how
+    odd, add = _HASHES[k]
+    h = []
     long = [x for x in lines if len(x) >= k]
     if long:
         flat = runs_hash(code_points("\n".join(long)).astype(U64), k)
@@ -56,89 +83,101 @@ def band_keys(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]
             h.append(flat[s : s + len(x) - k + 1])
             s += len(x) + 1
     hashes = iter(h)
-    parts = []
-    for x in lines:
-        own = next(hashes) if len(x) >= k else shingles(x, k)
-        parts.append(own)
-        edges.append(at)
-        at += len(own)
+    parts = [next(hashes) if len(x) >= k else shingles(x, k) for x in lines]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]])
     words = (np.concatenate(parts) >> U64(32)).astype(np.uint32)
-    sig = np.empty((ROWS * BANDS, len(lines)), np.uint32)
-    for i in range(0, ROWS * BANDS, ROWS):
-        sig[i : i + ROWS] = np.minimum.reduceat(words[None, :] * _ODD[i : i + ROWS] + _ADD[i : i + ROWS], edges, axis=1)
-    out = np.empty((len(lines), BANDS), U64)
-    for b in range(BANDS):
-        key = np.full(len(lines), U64(b + 1) * MIX)
-        for r in range(ROWS):
-            key = mix64(key ^ sig[b * ROWS + r].astype(U64))
+    sig = np.empty((rows * bands, len(lines)), np.uint32)
+    for i in range(0, rows * bands, 6):
+        sig[i : i + 6] = np.minimum.reduceat(words[None, :] * odd[i : i + 6] + add[i : i + 6], edges, axis=1)
+    out = np.empty((len(lines), bands), U64)
+    for b in range(bands):
+        key = np.full(len(lines), U64(b + 1) * MIX + U64(k))
+        for r in range(rows):
+            key = mix64(key ^ sig[b * rows + r].astype(U64))
         out[:, b] = key
     return out, (sig[:SKETCH] >> np.uint32(4)).astype(np.uint8).T
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a line that isn't blank: line (digest of its normal form), doc, pos, keys and sketch (empty where the task had the line a while ago)."""
-    kind = dict(docs.dtypes)[id_col]
+    """One row a line that isn't blank and kind: line (digest of its normal form), kind, doc, pos, keys, sketch.
+
+    Keys and sketch are empty where the task had the line a while ago; pos is null in the
+    second row of a line of two kinds.
+    """
+    id_kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        remember("lines")
         with np.errstate(over="ignore"):
             seen: set[bytes] = set()
             for b in slices(batches, 128):
-                if len(seen) > REMEMBERED:
+                if len(seen) > SEEN:
                     seen.clear()
-                fresh, digests, pos, counts, is_new = [], [], [], [], []
-                for text in b.column(1).to_pylist():
-                    n = 0
+                # by kind: digests, documents, places, texts
+                got: dict[int, tuple[list, list, list, list]] = {0: ([], [], [], []), FEW[0]: ([], [], [], []), MANY[0]: ([], [], [], [])}
+                for at, text in enumerate(b.column(1).to_pylist()):
                     for i, line in enumerate(text.split("\n")):
-                        if x := normal(line):
+                        if words := line.lower().split():
+                            x = " ".join(words)
                             d = xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
-                            digests.append(d)
-                            pos.append(i)
-                            n += 1
-                            is_new.append(d not in seen)
-                            if is_new[-1]:
+                            if d in seen:
+                                own: tuple = (0,)
+                            else:
                                 seen.add(d)
-                                fresh.append(x)
-                    counts.append(n)
-                keys, sketches = [], []
-                at = size = 0
-                for i, x in enumerate(fresh):  # about 64 KB at a time stay in the cache
-                    size += len(x)
-                    if size > 1 << 14 or i + 1 == len(fresh):
-                        k, sketch = band_keys(fresh[at : i + 1])
-                        keys.append(k)
-                        sketches += [x.tobytes() for x in sketch]
-                        at, size = i + 1, 0
-                flat = np.concatenate(keys).reshape(-1).view(np.int64) if keys else np.empty(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.array(is_new, np.int64) * BANDS)])
-                cols = [pa.array(digests, pa.binary()), b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-                given = iter(sketches)
-                cols.append(pa.array([next(given) if new else None for new in is_new], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["line", "doc", "pos", "keys", "sketch"])
-
-    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, doc {kind}, pos int, keys array<bigint>, sketch binary")
+                                own = (FEW[0],) if len(x) < BORDER else kinds(words)
+                            for k in own:
+                                for c, v in zip(got[k], (d, at, i if k == own[0] else None, x), strict=True):
+                                    c.append(v)
+                for how in ((0, 0, 0), FEW, MANY):
+                    digests, docs_at, pos, texts = got[how[0]]
+                    n = len(digests)
+                    if not n:
+                        continue
+                    keys, sketches = [], []
+                    begin = size = 0
+                    for i, x in enumerate(texts if how[0] else ()):  # about 64 KB at a time stay in the cache
+                        size += len(x)
+                        if size > 1 << 14 or i + 1 == n:
+                            k, sketch = band_keys(texts[begin : i + 1], how)
+                            keys.append(k)
+                            sketches.append(sketch)
+                            begin, size = i + 1, 0
+                    flat = np.concatenate(keys).reshape(-1).view(np.int64) if keys else np.empty(0, np.int64)
+                    own_sketch = pa.array([None] * n, pa.binary())
+                    if sketches:
+                        data = np.ascontiguousarray(np.concatenate(sketches))
+                        own_sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, data.size + 1, SKETCH, dtype=np.int32)), pa.py_buffer(data)])
+                    ends = np.arange(n + 1, dtype=np.int32) * how[2]
+                    cols = [pa.array(digests, pa.binary()), pa.array([how[0]] * n, pa.int8()), b.column(0).take(pa.array(docs_at, pa.int64())), pa.array(pos, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), own_sketch]
+                    yield pa.RecordBatch.from_arrays(cols, names=["line", "kind", "doc", "pos", "keys", "sketch"])
+
+    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"line binary, kind tinyint, doc {id_kind}, pos int, keys array<bigint>, sketch binary")
 
 
 def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(doc, gone): numbers of the lines of each document of which the component has an earlier one."""
     table = scratch.store(line_table(docs, id_col, text_col), "lines")
+    # an item is a line in one of its kinds
+    item = F.concat("line", F.when(F.col("kind") == FEW[0], F.unhex(F.lit("04"))).otherwise(F.unhex(F.lit("08")))).alias("id")
     keyed = None
     for turn in range(TURNS):
-        rows = table.select(F.col("line").alias("id"), F.hash("line").alias("half"), F.explode(F.slice("keys", turn * BANDS // TURNS + 1, BANDS // TURNS)).alias("key"))
+        first, last = F.floor(F.size("keys") * turn / TURNS), F.floor(F.size("keys") * (turn + 1) / TURNS)
+        rows = table.where("kind <> 0").select(item, F.hash("line").alias("half"), F.explode(F.slice("keys", (first + 1).cast("int"), (last - first).cast("int"))).alias("key"))
         # a key counts if two different lines have it, told by 32 bits of each; copies of one line fall together before the shuffle
-        shared = rows.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("key")
-        shared = scratch.store(shared, f"shared-{turn}")  # frees what was shuffled for it
-        part = scratch.store(rows.select("key", "id").join(shared, "key").distinct(), f"keyed-{turn}")
-        scratch.drop(shared)
+        shared = rows.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+        part = scratch.store(hot_join(scratch, rows.select("key", "id"), shared, ["key"], "n", f"shared-{turn}").select("key", "id").distinct(), f"keyed-{turn}")
+        scratch.drop_named(f"shared-{turn}")
         keyed = part if keyed is None else keyed.unionByName(part)
     # sketches rule out unlike lines before their texts are read; sizes aren't known yet and count as equal
-    light = table.where("sketch is not null").select(F.col("line").alias("id"), "sketch").join(keyed.select("id").distinct(), "id", "left_semi")
+    light = table.where("sketch is not null").select(item, "sketch").join(keyed.select("id").distinct(), "id", "left_semi")
     light = scratch.store(light.groupBy("id").agg(F.lit(1).cast("bigint").alias("n"), F.first("sketch").alias("sketch")), "light")
-    places = scratch.store(table.select("line", "doc", "pos"), "places")
+    places = scratch.store(table.where("pos is not null").select("line", "doc", "pos"), "places")
     scratch.drop(table)
 
     def bodies(ids: DataFrame) -> DataFrame:
-        ids = scratch.store(ids, "wanted")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+        ids = scratch.store(ids.select("id", F.substring("id", 1, 16).alias("line")), "wanted")
+        wanted = ids.select("line").distinct()
+        wanted = F.broadcast(wanted) if ids.count() <= BROADCAST else wanted
 
         def texts(batches):
             for b in slices(batches, 128):
@@ -147,25 +186,30 @@ def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, t
                     for line in text.split("\n"):
                         if x := normal(line):
                             seen.setdefault(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")), x)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["id", "body"])
-
-        lines = docs.select(text_or_empty(text_col).alias("__text")).mapInArrow(texts, "id binary, body string")
-        return scratch.store(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.lit(1).cast("bigint").alias("copies"), F.first("body").alias("body")), "bodies")
-
-    _, edges = similar_pairs(scratch, keyed, light, bodies, shingles, threshold, "lines")
-    roots = components(scratch, edges)
-    scratch.drop_named(*[f"keyed-{turn}" for turn in range(TURNS)], "light", "wanted", "bodies", "lines-links")
-    own = places.join(roots, F.col("line") == F.col("node"), "left").select(F.coalesce("root", "line").alias("part"), "doc", "pos")
-    firsts = own.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).where("n > 1").select("part", "first")
-    gone = own.join(firsts, "part").where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], names=["line", "body"])
+
+        lines = docs.select(text_or_empty(text_col).alias("__text")).mapInArrow(texts, "line binary, body string")
+        one = lines.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("body").alias("body"))
+        return scratch.store(one.join(ids, "line").select("id", F.lit(1).cast("bigint").alias("copies"), "body"), "bodies")
+
+    _, edges = similar_pairs(scratch, keyed, light, bodies, lambda i, x: shingles(x, i[16]), threshold, "lines", links=False)
+    roots = components(scratch, edges.select(F.substring("a", 1, 16).alias("a"), F.substring("b", 1, 16).alias("b")))
+    scratch.drop_named(*[f"keyed-{turn}" for turn in range(TURNS)], "light", "wanted", "bodies", "lines-links", "lines-pivot-edges")
+    # a row a line first, then a row a component; only lines whose component has several places meet the places again
+    by_line = places.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
+    by_line = scratch.store(by_line.join(roots, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("part"), "n", "first"), "by-line")
+    parts = by_line.groupBy("part").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("k")).where("total > 1")
+    again = hot_join(scratch, by_line.select("line", "part", "n"), parts, ["part"], "k", "parts").select("line", "n", "first")
+    gone = hot_join(scratch, places, again, ["line"], "n", "again").where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
     return gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("gone"))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows with two more columns: __kept (text without the lines that are gone) and __gone (their number)."""
     both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    # numbers of the lines that stay, by hash sets; then each is looked up once, so a text of very many lines costs its length
+    lines = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i)))
+    kept = F.array_join(F.get(lines, F.lit(0)), "\n")
     return both.withColumn("__kept", F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn("__gone", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")).drop("gone")
 
 

@@ -12,60 +12,22 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from math import floor, lcm
+from math import lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents a block, slots given out at a time, hash buckets within which a source's documents are ranked, exponent of the default weights.
+from .common import Scratch
+
+#: Documents a block, slots given out at a time, least number of hash buckets within which a source's documents are ranked, exponent of the default weights.
 BLOCK, PERIOD, BUCKETS, TEMPER = 64, 4096, 1024, 0.7
+#: Documents of all sources a hash bucket at most, on average; more documents make more buckets.
+RANKED = 16_384
 #: Up to so many blocks are broadcast to where the documents are; more are shuffled.
 BROADCAST = 300_000
 
 
-def parts(weights: dict, period: int = PERIOD) -> dict:
-    """Weights rounded to slots of a period, by largest remainders, at least one for a positive weight; for plans that repeat."""
-    live = {k: v for k, v in weights.items() if v > 0}
-    if any(v < 0 for v in weights.values()) or not live:
-        raise ValueError("weights must not be negative, and one must be positive")
-    if len(live) > period:
-        raise ValueError(f"{len(live)} sources need a longer period than {period}")
-    total = sum(live.values())
-    free = period - len(live)
-    want = {k: v / total * period for k, v in live.items()}
-    out = {k: max(1, floor(v)) for k, v in want.items()}
-    order = sorted(live, key=lambda k: (out[k] - want[k], str(k)))
-    while sum(out.values()) < period:
-        for k in order:
-            if sum(out.values()) < period:
-                out[k] += 1
-    while sum(out.values()) > period:
-        k = max((k for k in out if out[k] > 1), key=lambda k: (out[k] - want[k], str(k)))
-        out[k] -= 1
-    assert free >= 0
-    return out
-
-
-def schedule(shares: dict) -> list:
-    """Source of each slot of one period: released blocks by earliest deadline, ties by source."""
-    period = sum(shares.values())
-    release: list[list] = [[] for _ in range(period)]
-    for k, n in shares.items():
-        for i in range(1, n + 1):
-            release[(i - 1) * period // n].append((-(-i * period // n), str(k), i, k))
-    ready: list = []
-    out = []
-    for slot in range(period):
-        for x in release[slot]:
-            heapq.heappush(ready, x)
-        deadline, _, _, k = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a deadline was missed")
-        out.append(k)
-    return out
-
-
 def places(sizes: dict, weights: dict, block: int = BLOCK):
     """(source, block, slot, exact) of every block of the sources with a positive weight, in the order of the slots.
 
@@ -100,7 +62,7 @@ def places(sizes: dict, weights: dict, block: int = BLOCK):
         slot += 1
 
 
-def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, buckets: int = BUCKETS, temper: float = TEMPER, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, buckets: int | None = None, temper: float = TEMPER, keep: tuple[str, ...] = (), tie_col: str | None = None) -> DataFrame:
     """Place of every document in the mix; none is dropped or repeated.
 
     Columns: id, source, those of ``keep``, block (of its source), slot, seq (within the
@@ -111,11 +73,14 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     ``weights``: by source; without them the sources' sizes to the power ``temper``.
     A null source is one source of its own (weights key None); a source without a
     positive weight comes after all slots (slot null, exact false). Documents of a source
-    are ordered by a hash of their id, repeated ids at random among themselves.
+    are ordered by a hash of their id, rows that share an id by the
+    hash of ``tie_col``, in any order without it.
     ``period``: slots that the scheduling task gives out at a time. The number of sources
     isn't bounded; the driver and that task hold a number for each that has a weight.
     """
-    flat = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *[F.col(c).alias(f"__k_{c}") for c in keep])
+    flat = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), *[F.col(c).alias(f"__k_{c}") for c in keep], F.xxhash64(F.col(tie_col)).alias("__tie") if tie_col else F.lit(0).alias("__tie"))
+    if buckets is None:  # so many that one holds some ten thousand documents, however many there are
+        buckets = max(BUCKETS, flat.count() // RANKED)
     flat = flat.withColumn("__hash", F.xxhash64("__id")).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     # a source's documents are ranked bucket by bucket, so that none is ranked in one task
     sizes = flat.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
@@ -129,7 +94,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     given = {k: w for k, w in given.items() if k in per_source}
     base = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     base = base.select(F.col("__source").alias("s"), F.col("__bucket").alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = flat.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__hash", "__id")) - 1)
+    ranked = flat.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__hash", "__id", "__tie")) - 1)
     ranked = ranked.join(base, ranked["__source"].eqNullSafe(base["s"]) & (ranked["__bucket"] == base["b"])).drop("s", "b")
     ranked = ranked.withColumn("__at", F.col("before") + F.col("__rank")).withColumn("block", F.floor(F.col("__at") / block)).withColumn("seq", (F.col("__at") % block).cast("int"))
     out = [F.col("__id").alias(id_col), F.col("__source").alias(source_col), *[F.col(f"__k_{c}").alias(c) for c in keep], "block", "slot", "seq", F.coalesce("exact", F.lit(False)).alias("exact")]
@@ -154,9 +119,12 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     return ranked.select(*out)
 
 
-def reorder(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
-    """The documents with their own columns, in the order of the mix (across and within partitions)."""
+def reorder(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **more) -> DataFrame:
+    """The documents with their own columns, in the order of the mix (across and within partitions, so across and within the files written from it).
+
+    What is placed is stored before it is sorted, so that the texts lie in one shuffle at a time.
+    """
     cols = docs.columns
-    flat = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in cols])).select(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), "__row")
-    placed = mix(flat, weights=weights, id_col="__i", source_col="__s", keep=("__row",), **more)
+    flat = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in cols])).select(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col(text_col).alias("__t"), "__row")
+    placed = Scratch(docs.sparkSession).store(mix(flat, weights=weights, id_col="__i", source_col="__s", keep=("__row",), tie_col="__t", **more), "placed")
     return placed.orderBy(F.col("slot").asc_nulls_last(), "__s", "block", "seq").select(*[F.col(f"__row.`{c}`").alias(c) for c in cols])

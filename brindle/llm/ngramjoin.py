@@ -2,9 +2,13 @@
 
 In each run a set samples some of its tokens by a hash that all sets share, so
 similar sets pick common ones; sets that picked the same token share a bucket.
-A bucket that is still large is split by a second and a third sampled token;
-what remains is compared exactly, large or small. Runs are repeated until a pair
-at the threshold is missed with less than the wanted probability.
+A bucket that is still large is split again by the next sampled tokens of its
+sets, level after level, unless most of it is like one of its sets: then nothing
+would split it. What remains is compared exactly, large or small. Runs are repeated
+until a pair at the threshold is missed with less than the wanted probability.
+
+An item of the join is a different set, known by its digest; documents with the
+same set are its copies.
 """
 
 from __future__ import annotations
@@ -18,30 +22,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Scratch, components, mix64, runs_hash, slices, sorted_set, text_or_empty
-from .pairs import SKETCH, similar_pairs
+from .common import MIX, U64, Scratch, components, hot_join, mix64, remember, runs_hash, slices, sorted_set, text_or_empty
+from .pairs import SKETCH, alike, similar_pairs
 
-#: Words a shingle, least similarity, expected tokens a set samples at a node, buckets up to this size aren't split, levels of a path.
-WORDS, THRESHOLD, PICK, SMALL, LEVELS = 5, 0.8, 1.6, 1024, 3
-#: Greatest wanted probability that a pair at the threshold is missed, whatever level its buckets are split to.
+#: Words a shingle, least similarity, expected tokens a set samples at a node, buckets up to this size aren't split.
+WORDS, THRESHOLD, PICK, SMALL = 5, 0.8, 2.0, 1024
+#: Levels of a path at most; a bucket that is still large there is compared as it is. Share of a bucket like its pivot from which on it isn't split.
+LEVELS, DENSE = 6, 0.5
+#: Greatest wanted probability that a pair at the threshold is missed, however deep its buckets are split.
 MISS = 1e-3
 WORD = re.compile(r"\w+")
 
 
-def recall(level: int, threshold: float = THRESHOLD, pick: float = PICK) -> float:
-    """Least probability that one run finds a pair at the threshold: a branching process of shared picks.
+def recall(threshold: float = THRESHOLD, pick: float = PICK) -> float:
+    """Least probability that one run finds a pair at the threshold at any depth: a branching process of shared picks survives.
 
     Fewest picks are shared where one set contains the other, as both pick at the rate of the larger one.
     """
-    shared = pick * threshold
     p = 1.0
-    for _ in range(level):
-        p = 1 - math.exp(-shared * p)
+    for _ in range(200):
+        p = 1 - math.exp(-pick * threshold * p)
     return p
 
 
 def runs_needed(miss: float = MISS, threshold: float = THRESHOLD, pick: float = PICK) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - recall(LEVELS, threshold, pick)))
+    if pick * threshold <= 1.05:
+        raise ValueError("a set must sample more tokens, or paths of similar sets part")
+    return math.ceil(math.log(miss) / math.log(1 - recall(threshold, pick)))
 
 
 def words_of(text: str) -> list[str]:
@@ -70,122 +77,175 @@ def sketch(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def paths(s: np.ndarray, runs: int, pick: float = PICK, levels: int = LEVELS) -> np.ndarray:
-    """Chosen paths of a set, a row each: its keys from the first level on, then zeros.
+def roots_of(runs: int) -> np.ndarray:
+    """The nodes at which the runs begin."""
+    return mix64((np.arange(runs, dtype=U64) + U64(1)) * MIX)
+
+
+def children(s: np.ndarray, nodes: np.ndarray, pick: float = PICK) -> np.ndarray:
+    """Nodes below these that the set chooses, each once.
 
     A token is chosen at a node if its 32-bit hash with the node is less than
-    pick / size. A path's key mixes the token's whole hash with the node above.
+    pick / size. The new node mixes the token's whole hash with the one above.
     """
     bound, low = np.uint32(min(2**32 - 1, int(pick / len(s) * 2**32))), s.astype(np.uint32)[None, :]
-    seeds, above, out = mix64((np.arange(runs, dtype=U64) + U64(1)) * MIX), np.empty((runs, 0), U64), []
-    step = max(4, (1 << 15) // len(s))
-    for level in range(levels):
-        odd, add = (seeds | U64(1)).astype(np.uint32)[:, None], (seeds >> U64(32)).astype(np.uint32)[:, None]
-        hits = [np.nonzero(low * odd[at : at + step] + add[at : at + step] <= bound) for at in range(0, len(seeds), step)]
-        if not hits:
-            break
-        node = np.concatenate([i + k * step for k, (i, _) in enumerate(hits)])
-        seeds = mix64(s[np.concatenate([j for _, j in hits])] * MIX + seeds[node])
-        above = np.concatenate([above[node], seeds[:, None]], axis=1)
-        out.append(np.pad(above, ((0, 0), (0, levels - 1 - level))))
-    return np.concatenate(out).view(np.int64)
+    odd, add = (nodes | U64(1)).astype(np.uint32)[:, None], (nodes >> U64(32)).astype(np.uint32)[:, None]
+    out, step = [], max(4, (1 << 15) // len(s))
+    for at in range(0, len(nodes), step):
+        i, j = np.nonzero(low * odd[at : at + step] + add[at : at + step] <= bound)
+        out.append(mix64(s[j] * MIX + nodes[i + at]))
+    return sorted_set(np.concatenate(out)).view(np.int64)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, k: int, runs: int) -> DataFrame:
-    """One row a document: id, d (digest of its set, null without words), n, paths, sketch. Copies in a batch are worked on once."""
+    """One row a document: id, t (hash of its text), d (digest of its set, null without words), n, keys, sketch. Copies in a batch are worked on once."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        remember("join")
+        top, none = roots_of(runs), np.empty(0, np.int64)
         with np.errstate(over="ignore"):
             for b in slices(batches, 256):
                 rows, seen = [], {}
-                for text in b.column(1).to_pylist():
+                for text in b.column(2).to_pylist():
                     if text not in seen:
                         s = shingles(text, k)
-                        seen[text] = (hash128(s), len(s), paths(s, runs).reshape(-1), sketch(s)) if len(s) else (None, 0, [], None)
+                        seen[text] = (hash128(s), len(s), children(s, top), sketch(s)) if len(s) else (None, 0, none, None)
                     rows.append(seen[text])
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["id", "d", "n", "paths", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["id", "t", "d", "n", "keys", "sketch"])
 
-    return docs.select(id_col, text_or_empty(text_col).alias("__text")).mapInArrow(run, f"id {kind}, d binary, n bigint, paths array<bigint>, sketch binary")
+    text = text_or_empty(text_col)
+    return docs.select(id_col, F.xxhash64(text).alias("__t"), text.alias("__text")).mapInArrow(run, f"id {kind}, t bigint, d binary, n bigint, keys array<bigint>, sketch binary")
 
 
 def hash128(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def buckets(scratch: Scratch, sets: DataFrame, small: int) -> DataFrame:
+def with_sets(texts: DataFrame, words: int, make, schema: str) -> DataFrame:
+    """Rows that ``make(set, keys)`` gives for the texts (d, keys, __text) whose set has the digest d; others with the same id and text hash fall out."""
+
+    def run(batches):
+        names = [x.split()[0] for x in schema.split(", ")]
+        types = {"id": pa.binary(), "body": pa.binary(), "key": pa.int64(), "copies": pa.int64()}
+        with np.errstate(over="ignore"):
+            for b in slices(batches, 256):
+                out = [[] for _ in names]
+                for d, own, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    s = shingles(text, words)
+                    if len(s) and hash128(s) == d:
+                        for row in make(d, s, own):
+                            for c, v in zip(out, row, strict=True):
+                                c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(names, out, strict=True)], names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def crowded(scratch: Scratch, members: DataFrame, reps: DataFrame, level: int) -> DataFrame:
+    """(key): large buckets of which most sets are like the pivot, as far as sketches tell."""
+    own = members.join(reps.select(F.col("d").alias("id"), "sketch"), "id").select("key", "id", "pivot", "m", "sketch")
+    own = scratch.store(own, f"sketched-{level}")
+    pivots = own.where("id = pivot").select("key", F.col("sketch").alias("other"), "m")
+    both = hot_join(scratch, own.drop("m"), pivots, ["key"], "m", f"pivots-{level}").select("key", "sketch", "other")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(alike(x, y)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.float64())], names=["key", "like"])
+
+    return both.mapInArrow(run, "key bigint, like double").groupBy("key").agg(F.avg("like").alias("like")).where(F.col("like") >= DENSE).select("key")
+
+
+def buckets(scratch: Scratch, reps: DataFrame, texts_of, words: int, small: int) -> DataFrame:
     """(key, id): the bucket keys with two sets at least, after large buckets were split."""
-    rows = sets.select("id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("paths") / LEVELS).cast("int") - 1), lambda i: F.slice("paths", i * LEVELS + 1, LEVELS))).alias("p")).where("size(p) > 0")
-    out, above = None, None
+    rows = scratch.store(reps.select(F.col("d").alias("id"), F.explode("keys").alias("key")), "level-0")
+    out = None
     for level in range(LEVELS):
-        ends = (F.col("p")[level] != 0) & ((F.col("p")[level + 1] == 0) if level + 1 < LEVELS else F.lit(True))
-        own = rows.where(ends).select("id", F.col("p")[level].alias("key"), *([F.col("p")[level - 1].alias("up")] if level else []))
-        if above is not None:
-            own = own.join(above, "up", "left_semi")
-        own = own.select("id", "key").distinct()
-        if level:
-            own = scratch.store(own, f"split-{level}")  # read twice below
-        sizes = scratch.store(own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
-        fine = sizes.where(F.col("m") <= small) if level + 1 < LEVELS else sizes
-        got = own.join(fine.select("key"), "key", "left_semi")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot")).where("m > 1")
+        rows = scratch.store(hot_join(scratch, rows, sizes, ["key"], "m", f"sizes-{level}"), f"rows-{level}")
+        scratch.drop_named(f"level-{level}", f"sizes-{level}")
+        members = rows.where(F.col("m") > small)
+        if level + 1 == LEVELS or members.isEmpty():
+            got = rows.select("key", "id")
+            return got if out is None else out.unionByName(got)
+        whole = scratch.store(crowded(scratch, members, reps, level), f"whole-{level}")  # fewer than the buckets, each of over ``small`` sets
+        got = rows.where(F.col("m") <= small).select("key", "id").unionByName(members.join(whole, "key", "left_semi").select("key", "id"))
         out = got if out is None else out.unionByName(got)
-        above = sizes.where(F.col("m") > small).select(F.col("key").alias("up"))
-        if above.isEmpty():
-            break
-    return out
+        split = members.join(whole, "key", "left_anti").groupBy("id").agg(F.collect_set("key").alias("own"))
 
+        def below(d, s, own):
+            return [(d, k) for k in children(s, np.array(own, np.int64).view(U64)).tolist()]
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, small: int = SMALL) -> DataFrame:
-    """Self-join of whole texts on the Jaccard similarity of their word shingles.
+        rows = scratch.store(with_sets(texts_of(split), words, below, "id binary, key bigint").distinct(), f"level-{level + 1}")
+        scratch.drop_named(f"sketched-{level}", f"pivots-{level}")
+    raise AssertionError
 
-    Columns: id, class_id (least id connected to it by links), n_links (other rows whose
-    similarity reaches the threshold), n_copies (other rows with the same shingles).
-    Words are compared in lower case; a text of fewer words than a shingle is one
-    shingle. A text without words (null, empty, only signs) is like no other: it is
-    its own class. Rows with a null id get a null class and no links. Repeated rows
-    count as copies; rows that share an id fall into one class.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    known = docs.where(F.col(id_col).isNotNull())
-    kind = dict(docs.dtypes)[id_col]
-    all_sets = scratch.store(profile(known, id_col, text_col, words, runs_needed(miss, threshold)), "profile")
+
+def grouped(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, miss: float, small: int, links: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, t, d of every document; sets: d, copies, n_links, top, the least (id, t) of the set's class)."""
+    known = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("__text"))
+    rows = scratch.store(profile(known, "id", "__text", words, runs_needed(miss, threshold)), "profile")
     # copies become one item before anything is dealt out by key
-    reps = all_sets.where("d is not null").groupBy("d").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    reps = rows.where("d is not null").groupBy("d").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")])
     reps = scratch.store(reps, "reps")
-    keyed = scratch.store(buckets(scratch, reps, small), "keyed")
-    texts = known.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("__text"))
+    keyless = known.withColumn("t", F.xxhash64("__text"))
 
-    def as_sets(batches):
-        with np.errstate(over="ignore"):
-            for b in slices(batches, 256):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t, words).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "copies", "body"])
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(d, own, __text) of the first document of each wanted set."""
+        first = wanted.join(reps.select(F.col("d").alias("id"), "first"), "id").select(F.col("id").alias("d"), "own", F.col("first.id").alias("i"), F.col("first.t").alias("h"))
+        return keyless.join(first, keyless["id"].eqNullSafe(first["i"]) & (keyless["t"] == first["h"])).select("d", "own", "__text")
+
+    keyed = scratch.store(buckets(scratch, reps, texts_of, words, small), "keyed")
+    scratch.drop_named(*[f"rows-{k}" for k in range(LEVELS)])
 
     def bodies(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(reps.select("id", "copies"), "id").groupBy("id").agg(F.max("copies").alias("copies"))
-        one = texts.join(wanted, "id").select("id", "copies", "__text").mapInArrow(as_sets, f"id {kind}, copies bigint, body binary")
-        return scratch.store(one, "bodies")
+        wanted = ids.join(reps.select(F.col("d").alias("id"), "copies"), "id").select("id", F.col("copies").alias("own"))
+        got = with_sets(texts_of(wanted), words, lambda d, s, own: [(d, own, s.tobytes())], "id binary, copies bigint, body binary")
+        return scratch.store(got.groupBy("id").agg(F.max("copies").alias("copies"), F.first("body").alias("body")), "bodies")  # repeated rows of a first document
 
-    links, edges = similar_pairs(scratch, keyed, reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), bodies, lambda b: np.frombuffer(b, U64), threshold, "join")
+    light = reps.select(F.col("d").alias("id"), "n", "sketch")
+    found, edges = similar_pairs(scratch, keyed, light, bodies, lambda i, b: np.frombuffer(b, U64), threshold, "join", links=links)
     roots = components(scratch, edges)
-    scratch.drop_named("keyed", "bodies", *[f"{x}-{k}" for x in ("sizes", "split") for k in range(LEVELS)])
-    classes = reps.select("d", "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("d", F.coalesce("root", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    out = all_sets.select("id", "d").join(classes, "d", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
-    lost = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_copies"))
-    return out.unionByName(lost).withColumnRenamed("id", id_col)
+    scratch.drop_named("keyed", "bodies", "join-pivot-edges")
+    sets = reps.select("d", "first", "copies").join(roots.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("part", F.coalesce("root", "d")).drop("root")
+    sets = sets.join(found.select(F.col("id").alias("d"), F.col("n").alias("others")), "d", "left") if links else sets.withColumn("others", F.lit(0))
+    sets = scratch.store(sets, "sets")
+    parts = sets.groupBy("part").agg(F.min("first").alias("top"), F.count("*").alias("k"))
+    own = hot_join(scratch, sets, parts, ["part"], "k", "parts")
+    return rows.select("id", "t", "d"), own.select("d", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "top")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, small: int = SMALL) -> DataFrame:
+    """Self-join of whole texts on the Jaccard similarity of their word shingles.
+
+    Columns: id, class_id (least id connected to it by links), n_links (other rows whose
+    similarity reaches the threshold), n_copies (other rows with the same shingles).
+    Words are compared in lower case; a text of fewer words than a shingle is one
+    shingle. A text without words (null, empty, only signs) is like no other: it is
+    its own class. Repeated rows, and rows that share an id, are rows of their own,
+    compared by their texts. Null ids are ids like others and the least.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, sets = grouped(scratch, docs, id_col, text_col, words, threshold, miss, small, True)
+    sets = sets.select("d", "copies", F.col("top.id").alias("class_id"), "n_links", (F.col("copies") - 1).alias("n_copies"))
+    out = hot_join(scratch, rows.where("d is not null").select("id", "d"), sets, ["d"], "copies", "classes").select("id", "class_id", "n_links", "n_copies")
+    zero = F.lit(0).cast("bigint")
+    alone = rows.where("d is null").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
+    return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The documents of which no similar one with a lesser id exists in their class; the columns stay.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, small: int = SMALL) -> DataFrame:
+    """One document of each class of similar ones, that with the least id (ties: the least hash of the text); the columns stay.
 
-    Of rows that share an id and are kept one stays, whichever has the least text.
-    Rows with a null id stay.
+    Documents without words are classes of their own and stay. Rows that share an id and
+    are unlike stay both; of rows with the same id and text one stays.
     """
     cols = docs.columns
-    classes = join(docs, id_col=id_col, text_col=text_col, **more).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(id_col).alias("__own"))
-    one = rows.join(classes, F.col("__own") == F.col("__id"), "left_semi")
-    one = one.groupBy("__own").agg(F.min("__row").alias("__row")).select("__row")
-    return one.unionByName(rows.where("__own is null").select("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in cols])
+    scratch = Scratch(docs.sparkSession)
+    rows, sets = grouped(scratch, docs, id_col, text_col, words, threshold, miss, small, False)
+    kept = sets.select("top.id", "top.t").distinct().unionByName(rows.where("d is null").select("id", "t").distinct())
+    kept = kept.select(F.col("id").alias("__id"), F.col("t").alias("__h"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(text_or_empty(text_col)).alias("__t"))
+    one = own.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi").dropDuplicates(["__own", "__t"])
+    return one.select(*[F.col(f"__row.`{c}`").alias(c) for c in cols])

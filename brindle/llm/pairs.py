@@ -6,6 +6,11 @@ more than two blocks. A pair is looked at in one bucket only, that of its least
 common key. First, light rows tell which items have such a pair in a cell at
 all; then only these bring their sets there, and all their pairs are compared
 exactly. What comes out is linear: links by item and a forest of edges.
+
+Where only the forest is wanted, items of large buckets are first compared with
+one item of the bucket, its pivot. What is like the pivot is in one component
+already, so pairs among it need no look: a bucket of copies with small changes
+costs its size, not the square of it.
 """
 
 from __future__ import annotations
@@ -16,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch
+from .common import Scratch, components, hot_join
 
-#: Items a block. Tokens worked on at once when sets are compared.
-BLOCK, TOKENS = 1024, 4096
-#: Words of a sketch, and how many must agree; a pair at 0.8 has 51 on average with a deviation of 3.2.
-SKETCH, AGREE = 64, 36
+#: Items a block. Tokens worked on at once when sets are compared. Items of a bucket from which on it has a pivot; pivots an item is compared with.
+BLOCK, TOKENS, LARGE, PIVOTS = 1024, 4096, 128, 3
+#: Bytes of a sketch, and the share that must agree; of 64 a pair at 0.8 has 51 on average with a deviation of 3.2, of 48 it has 38 with 2.8.
+SKETCH, AGREE = 64, 0.53
 
 
 def groups(batches, width: int):
@@ -136,26 +141,87 @@ def roots(similar: np.ndarray) -> np.ndarray:
         label = new
 
 
-def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, bodies, to_set, threshold: float, name: str) -> tuple[DataFrame, DataFrame]:
+def alike(x: bytes, y: bytes) -> bool:
+    return np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= AGREE * len(x)
+
+
+def reaches(both: int, x: int, y: int, threshold: float) -> bool:
+    """Jaccard similarity of sets of x and y words with ``both`` common ones, in whole numbers: at the threshold itself there is no rounding."""
+    return both > 0 and both * 1000 >= (x + y - both) * round(threshold * 1000)
+
+
+def cells_of(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows (key, id, blk, low, high) laid into the cells of their block and each of the blocks low to high."""
+    rows = rows.withColumn("other", F.explode(F.sequence("low", "high")))
+    cells = rows.select("key", F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "id", *extra)
+    return cells.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+
+def pivot_edges(scratch: Scratch, large: DataFrame, body: DataFrame, to_set, threshold: float, name: str) -> DataFrame:
+    """(a, b): items of large buckets that are like the pivot of one of their largest buckets, with that pivot."""
+    kind = large.schema["id"].dataType.simpleString()
+    best = large.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "key", "pivot")), False).alias("own"))
+    near = best.select("id", F.explode(F.array_distinct(F.slice(F.col("own.pivot"), 1, PIVOTS))).alias("pivot")).where("id <> pivot")
+    near = scratch.store(near.join(body.select("id", "body"), "id"), f"{name}-near")
+    pivots = near.groupBy("pivot").agg(F.count("*").alias("n")).join(body.select(F.col("id").alias("pivot"), F.col("body").alias("other")), "pivot")
+    both = hot_join(scratch, near, pivots, ["pivot"], "n", f"{name}-pivots").select("id", "pivot", "body", "other")
+    ids = to_arrow_type(large.schema["id"].dataType)
+
+    def compare(batches):
+        sets: dict = {}
+        for b in batches:
+            got: tuple[list, list] = [], []
+            for i, p, x, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (own := sets.get(p)) is None:
+                    if len(sets) >= 64:
+                        sets.clear()
+                    own = sets[p] = to_set(p, y)
+                s = to_set(i, x)
+                if reaches(in_both(s, own), len(s), len(own), threshold):
+                    got[0].append(i)
+                    got[1].append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(c, ids) for c in got], names=["a", "b"])
+
+    out = scratch.store(both.mapInArrow(compare, f"a {kind}, b {kind}"), f"{name}-pivot-edges")
+    scratch.drop_named(f"{name}-near", f"{name}-pivots")
+    return out
+
+
+def unlike_rows(scratch: Scratch, large: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """What remains of large buckets: rows in blocks such that items in their pivot's component meet only those outside of it."""
+    roots = components(scratch, edges, f"{name}-labels")
+    rows = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+    rows = scratch.store(rows, f"{name}-labelled")
+    of_key = rows.where("id = pivot").select("key", F.col("label").alias("top"), "m")
+    rows = hot_join(scratch, rows.drop("m"), of_key, ["key"], "m", f"{name}-tops").withColumn("inside", F.col("label") == F.col("top")).select("key", "id", "inside")
+    rows = scratch.store(rows, f"{name}-inside")
+    sizes = rows.groupBy("key").agg(F.count_if("inside").alias("g"), F.count_if(~F.col("inside")).alias("r")).where("r > 0").withColumn("m", F.col("g") + F.col("r"))
+    rows = hot_join(scratch, rows, sizes, ["key"], "m", f"{name}-sides")
+    ng, nr = F.ceil(F.col("g") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
+    own = F.xxhash64("id")
+    blk = F.when(F.col("inside"), F.pmod(own, F.greatest(ng, F.lit(1)))).otherwise(ng + F.pmod(own, nr)).cast("int")
+    return rows.select("key", "id", blk.alias("blk"), F.when(F.col("inside"), ng).otherwise(F.lit(0)).alias("low"), (ng + nr - 1).alias("high"))
+
+
+def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies, to_set, threshold: float, name: str, *, links: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(links, edges) of the items whose sets have a Jaccard similarity of ``threshold`` at least.
 
-    keyed: distinct (key bigint, id); light: (id, n, sketch) that rules out most
-    unlike pairs, or None; bodies(ids): DataFrame (id, copies, body) of the items in
-    ``ids``; to_set(body): the item's set as unsigned words, each once.
-    links: (id, n) - copies of other similar items; edges: (a, b), a forest that
-    connects what is similar.
+    keyed: distinct (key bigint, id), a stored table; light: (id, n, sketch) that rules
+    out most unlike pairs; bodies(ids): DataFrame (id, copies, body) of the items in
+    ``ids``; to_set(id, body): the item's set as unsigned words, each once.
+    links: (id, n) - copies of other similar items, None unless asked for; edges: (a, b),
+    a forest that connects what is similar.
     """
     kind = keyed.schema["id"].dataType.simpleString()
-    lists = keyed.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    if light is not None:
-        lists = lists.join(light, "id")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = lists.withColumn("key", F.explode("keys")).join(sizes, "key")
-    rows = rows.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    light_cols = ["n", "sketch"] if light is not None else []
-    cells = rows.select("key", F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "id", "keys", *light_cols)
-    cells = cells.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot")).where("m > 1")
+    rows = scratch.store(hot_join(scratch, keyed, sizes, ["key"], "m", f"{name}-sizes"), f"{name}-rows")
+    scratch.drop_named(f"{name}-sizes")
+    lists = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(light, "id")
+    lists = scratch.store(lists, f"{name}-lists")
+    extra = ["keys", "n", "sketch"]
+    own_block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    plain = rows if links else rows.where(F.col("m") <= LARGE)
+    plain = plain.select("key", "id", own_block.alias("blk"), F.lit(0).alias("low"), (F.ceil(F.col("m") / BLOCK).cast("int") - 1).alias("high"))
 
     ids = to_arrow_type(keyed.schema["id"].dataType)
     need_schema = pa.schema([("key", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("blk", pa.int32()), ("id", ids), ("keys", pa.list_(pa.int64()))])
@@ -168,21 +234,18 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
                 continue
             key, one, two = t[0][0], t[1][0], t[2][0]
             if m == 2:
-                use = pair_here(key, t[5], t[3], one, two)
-                if use and light_cols:
-                    use = min(t[6]) >= threshold * max(t[6]) and (np.frombuffer(t[7][0], np.uint8) == np.frombuffer(t[7][1], np.uint8)).sum() >= AGREE
+                use = pair_here(key, t[5], t[3], one, two) and min(t[6]) >= threshold * max(t[6]) and alike(t[7][0], t[7][1])
                 at = [0, 1] if use else []
             else:
                 ok = own_pairs(key, t[5], np.array(t[3]), one, two)
-                if light_cols:
-                    n = np.array(t[6], np.float64)
-                    ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
-                    if ok.any():
-                        sk = np.frombuffer(b"".join(t[7]), np.uint8).reshape(m, SKETCH)
-                        i, j = np.nonzero(ok)
-                        for at in range(0, len(i), 1 << 16):
-                            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                            ok[x, y] = (sk[x] == sk[y]).sum(1) >= AGREE
+                n = np.array(t[6], np.float64)
+                ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+                if ok.any():
+                    sk = np.frombuffer(b"".join(t[7]), np.uint8).reshape(m, -1)
+                    i, j = np.nonzero(ok)
+                    for at in range(0, len(i), 1 << 16):
+                        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                        ok[x, y] = (sk[x] == sk[y]).sum(1) >= AGREE * sk.shape[1]
                 at = np.nonzero(ok.any(0) | ok.any(1))[0].tolist()
             if at:
                 out.add([[c[i] for i in at] for c in t[:6]])
@@ -190,8 +253,21 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
                     yield out.take()
         yield out.take()
 
-    need = scratch.store(cells.mapInArrow(needed, f"key bigint, one int, two int, blk int, id {kind}, keys array<bigint>"), f"{name}-cells")
-    body = bodies(need.select("id").distinct())
+    def met(own: DataFrame, label: str) -> DataFrame:
+        return scratch.store(cells_of(own.join(lists, "id"), extra).mapInArrow(needed, f"key bigint, one int, two int, blk int, id {kind}, keys array<bigint>"), f"{name}-{label}")
+
+    need = met(plain, "cells")
+    wanted = need.select("id").distinct()
+    large = None if links else rows.where(F.col("m") > LARGE)
+    if large is not None and large.isEmpty():
+        large = None
+    if large is not None:
+        wanted = wanted.unionByName(large.select("id")).distinct()
+    body = bodies(wanted)
+    forest = None
+    if large is not None:
+        forest = pivot_edges(scratch, large, body, to_set, threshold, name)
+        need = need.unionByName(met(unlike_rows(scratch, large, forest, name), "more-cells"))
     full = need.join(body, "id").select("key", "one", "two", "blk", "id", "keys", "copies", "body")
     full = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
@@ -207,13 +283,12 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
             if m == 2:
                 if not pair_here(key, t[5], t[3], one, two):
                     continue
-                x, y = to_set(t[7][0]), to_set(t[7][1])
-                both = in_both(x, y)
-                if both and both * 1000 >= (len(x) + len(y) - both) * round(threshold * 1000):
+                x, y = to_set(t[4][0], t[7][0]), to_set(t[4][1], t[7][1])
+                if reaches(in_both(x, y), len(x), len(y), threshold):
                     out.add([t[4], [t[4][0]] * 2, [t[6][1], t[6][0]]])
             else:
                 ok = own_pairs(key, t[5], np.array(t[3]), one, two)
-                sets = [to_set(x) for x in t[7]]
+                sets = [to_set(i, x) for i, x in zip(t[4], t[7], strict=True)]
                 size = np.array([len(s) for s in sets], np.float32)
                 both = common(sets)
                 either = size[:, None] + size[None, :] - both
@@ -231,6 +306,8 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame | None, b
         yield out.take()
 
     got = scratch.store(full.mapInArrow(compare, f"id {kind}, root {kind}, n bigint"), f"{name}-links")
-    scratch.drop(need)
-    links = got.groupBy("id").agg(F.sum("n").alias("n"))
-    return links, got.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    scratch.drop_named(*[f"{name}-{x}" for x in ("cells", "more-cells", "rows", "lists", "labelled", "inside", "tops", "sides")])
+    edges = got.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if forest is not None:
+        edges = edges.unionByName(forest)
+    return got.groupBy("id").agg(F.sum("n").alias("n")) if links else None, edges

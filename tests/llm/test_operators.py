@@ -55,11 +55,10 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, 200: 100}
 
 
-def test_line_dedup_is_brute_force(docs):
-    got = {r.doc_id: r.n_removed for r in lines.dedup(docs).collect()}
-    places = [(r.doc_id, lines.normal(x)) for r in docs.orderBy("doc_id").collect() for x in r.text.split("\n") if lines.normal(x)]
-    names = list(dict.fromkeys(x for _, x in places))
-    sets = [frozenset(lines.shingles(x).tolist()) for x in names]
+def removed_lines(rows, numbers=False):
+    """How many lines are gone (or which) by document, by comparing all lines that share a shingle in one of their kinds."""
+    places = [(d, i, lines.normal(x)) for d, t in sorted(rows) for i, x in enumerate((t or "").split("\n")) if lines.normal(x)]
+    names = list(dict.fromkeys(x for _, _, x in places))
     parent = list(range(len(names)))
 
     def find(i):
@@ -67,20 +66,50 @@ def test_line_dedup_is_brute_force(docs):
             i = parent[i]
         return i
 
-    where = collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        for j, n in collections.Counter(j for x in s for j in where[x]).items():
-            if n * 10 >= 8 * (len(s) + len(sets[j]) - n):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-        for x in s:
-            where[x].append(i)
-    seen, want = set(), collections.Counter()
+    for k in (lines.FEW[0], lines.MANY[0]):
+        sets = {i: frozenset(lines.shingles(x, k).tolist()) for i, x in enumerate(names) if k in lines.kinds(x.split())}
+        where = collections.defaultdict(list)
+        for i, s in sets.items():
+            for j, n in collections.Counter(j for x in s for j in where[x]).items():
+                if n * 10 >= 8 * (len(s) + len(sets[j]) - n):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+            for x in s:
+                where[x].append(i)
+    seen, gone = set(), {d: set() for d, _ in rows}
     index = {x: i for i, x in enumerate(names)}
-    for d, x in places:
-        want[d] += (r := find(index[x])) in seen
+    for d, i, x in places:
+        if (r := find(index[x])) in seen:
+            gone[d].add(i)
         seen.add(r)
-    assert got == {d: want[d] for d in got}
+    return gone if numbers else {d: len(x) for d, x in gone.items()}
+
+
+@pytest.mark.parametrize("most", [lines.BROADCAST, 0])
+def test_line_dedup_is_brute_force(docs, most, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST", most)
+    got = {r.doc_id: r.n_removed for r in lines.dedup(docs).collect()}
+    assert got == removed_lines([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_line_kinds():
+    words = [f"word{i:02d}" for i in range(40)]
+    assert lines.kinds(words[:5]) == (4,) and lines.kinds(words[:26]) == (4, 8) and lines.kinds(words) == (8,)
+    assert lines.kinds(["ab", "cd"] * 5000) == lines.kinds(["=" * 9000]) == (4,)  # little is said, however long
+
+
+def test_templated_lines_are_brute_force(spark, monkeypatch):
+    from brindle.llm import pairs
+
+    # buckets large enough for pivots, blocks small enough for several cells; families near the threshold, so that not all are like their pivot
+    monkeypatch.setattr(pairs, "LARGE", 16)
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    rows = [(i, f"Page {i} of the annual footer report, volume {i % 7}, for the reader of it and all others") for i in range(150)]
+    rows += [(1000 + i, f"row {i * 31 % 100:02d}: all rights reserved by the owners of this very long notice of copyright") for i in range(100)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = removed_lines(rows)
+    assert sum(got[d] != want[d] for d in want) <= 2  # a band may miss a pair at the threshold itself
+    assert 20 < sum(got[d] for d in got if d < 1000) and sum(got[d] for d in got if d >= 1000) == 99
 
 
 def test_line_dedup_finds_short_lines_with_one_edit(spark):
@@ -101,30 +130,52 @@ def test_line_dedup_finds_short_lines_with_one_edit(spark):
     assert not any(got[i] for i in range(120)) and not any(got[i] for i, _ in long)
 
 
-def test_join_is_brute_force(docs):
-    got = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.join(docs).collect()}
-    sets = {r.doc_id: set(ngramjoin.shingles(r.text).tolist()) for r in docs.collect()}
+def all_links(sets):
     links = collections.defaultdict(set)
     for a in sets:
         for b in sets:
             if a < b and sets[a] and 10 * (n := len(sets[a] & sets[b])) >= 8 * (len(sets[a]) + len(sets[b]) - n):
                 links[a].add(b)
                 links[b].add(a)
-    want = {}
+    return links
+
+
+def link_classes(sets):
+    links, out = all_links(sets), {}
     for a in sorted(sets):
         todo = [a]
         while todo:
-            if (x := todo.pop()) not in want:
-                want[x] = a
+            if (x := todo.pop()) not in out:
+                out[x] = a
                 todo += links[x]
+    return out
+
+
+def test_join_is_brute_force(docs):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.join(docs).collect()}
+    sets = {r.doc_id: set(ngramjoin.shingles(r.text).tolist()) for r in docs.collect()}
+    want, links = link_classes(sets), all_links(sets)
     assert got == {a: (want[a], len(links[a])) for a in sets}
 
 
+def test_join_with_repeated_and_null_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve " * 3
+    rows = [(1, text), (1, text), (2, text + "more"), (None, "quite another text with words of its own"), (None, text), (5, "!!"), (5, "a b"), (5, "c d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngramjoin.join(docs).collect()), key=str)
+    sets = {i: set(ngramjoin.shingles(t).tolist()) for i, (_, t) in enumerate(rows)}
+    links = all_links(sets)
+    assert sorted(x[2] for x in got) == sorted(len(links[i]) for i in sets)
+    assert [x for x in got if x[0] == 5] == [(5, 5, 0, 0)] * 3
+    kept = sorted(((r.doc_id, r.text) for r in ngramjoin.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, rows[3][1]), (None, text), (5, "!!"), (5, "a b"), (5, "c d")], key=str)
+
+
 def test_join_runs_suffice_for_nested_sets():
     small, large = np.arange(1, 401, dtype=np.uint64), np.arange(1, 501, dtype=np.uint64)
     shared = ngramjoin.PICK * len(small) / len(large)  # of the large set's picks, those that lie in the small one
     p = 1.0
-    for _ in range(ngramjoin.LEVELS):
+    for _ in range(ngramjoin.LEVELS + 20):
         p = 1 - np.exp(-shared * p)
     assert (1 - p) ** ngramjoin.runs_needed() <= ngramjoin.MISS
 
@@ -281,16 +332,6 @@ def test_spotsigs(docs):
     assert pairs == {(a, b) for i, (a, x) in enumerate(own) for b, y in own[i + 1 :] if len(x & y) / len(x | y) >= 0.8}
 
 
-def test_mixing():
-    shares = mixing.parts({"a": 5, "b": 3, "c": 1.5, "d": 0.01, "e": 0}, 1000)
-    plan = mixing.schedule(shares)
-    done = collections.Counter()
-    for t, k in enumerate(plan, 1):
-        done[k] += 1
-        assert all(abs(done[s] - n * t / 1000) < 1 for s, n in shares.items())
-    assert done == shares
-
-
 def test_mixing_keeps_to_unrounded_weights():
     # a source of a share far below a slot of 4,096, and weights that no short period holds
     weights = {"hot": 1 / 3, "rare": 0.00003, None: 0.017, **{f"s{i}": 0.031 + i * 1e-7 for i in range(20)}}
@@ -343,12 +384,36 @@ def test_mixing_of_documents(docs):
     assert all(len(v) == 1 for v in slots.values()) and all(r.slot is None for r in rows if r.source == "src0")
 
 
-def test_pipeline(spark):
+def test_pipeline_is_brute_force(spark):
+    """run() against a plain version: the fitted classifier text by text, all lines and all documents compared, exact shares, tiktoken."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, DATA)
-    ids = [r.doc_id for r in out.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) > 100 and "n_tokens" in out.columns
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out())
+    rows = {r.doc_id: r for r in docs.collect() if not model.predict(r.text)[2]}
+    left = kept_texts({d: r.text for d, r in rows.items()})
+    sets = {d: set(ngramjoin.shingles(t).tolist()) for d, t in left.items()}
+    classes = link_classes(sets)
+    stay = {d: left[d] for d in left if classes[d] == d}
+    out = corpus_pipeline.run(spark, DATA).orderBy("mix_part", "mix_row").collect()
+    assert sorted(r.doc_id for r in out) == sorted(stay) and len(stay) > 100
+    real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert all(r.ids == real.encode_ordinary(stay[r.doc_id]) and r.lang == (rows[r.doc_id].lang or model.predict(rows[r.doc_id].text)[0]) and r.source == rows[r.doc_id].source for r in out)
+    # the order: sources' blocks by slot, and no block of a source before an earlier one
+    mixed = mixing.mix(spark.createDataFrame([(d, rows[d].source) for d in stay], "doc_id bigint, source string")).collect()
+    place = {r.doc_id: (r.slot, r.seq) for r in mixed}
+    assert [place[r.doc_id] for r in out] == sorted(place.values())
+
+
+def kept_texts(texts):
+    """What line dedup leaves of each document, those without any line left out."""
+    gone = removed_lines(list(texts.items()), numbers=True)
+    out = {}
+    for d, t in texts.items():
+        kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+        if not gone[d] or kept.strip():
+            out[d] = kept
+    return out
 
 
 def test_registered():
