@@ -7,6 +7,8 @@ result as Parquet into the shared folder and reads it again for the next stage.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from brindle.llm import bpe, langid, lines, mixing, ngramjoin
 from brindle.llm.common import Scratch
@@ -33,8 +35,19 @@ def mixing_order(spark, docs, sf_dir):
 
 
 def encoding(spark, docs, sf_dir):
-    """Token ids of every text, with the digests of the ids and of the decoded bytes."""
-    return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"))
+    """Token ids of every text, with the digests of the ids and of the decoded bytes.
+
+    The mix is the order of the files that the stage before has written and of the rows in
+    them. Readers deal files out in any order, so it is read from them and carried on:
+    (mix_part, mix_row) sorts the documents as they were mixed.
+    """
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("bigint") * 100_000 + F.coalesce(F.regexp_extract(name, r"-c(\d+)", 1).try_cast("bigint"), F.lit(0))
+    try:
+        docs = docs.select(*docs.columns, part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:  # not read from files: the order of partitions and of the rows in them
+        docs = docs.select(*docs.columns, F.spark_partition_id().cast("bigint").alias("mix_part"), F.monotonically_increasing_id().alias("mix_row"))
+    return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source", "mix_part", "mix_row"))
 
 
 STAGES = [
@@ -45,7 +58,7 @@ STAGES = [
     ("BPE", encoding),
 ]
 
-#: No stage but the fourth can be told in SQL; tests hold the run against brute force.
+#: No stage but the fourth can be told in SQL; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
