@@ -55,7 +55,7 @@ def shingles(line: str, k: int) -> np.ndarray:
 def kinds(words: list[str]) -> tuple[int, ...]:
     """Characters of the shingles by which a line of these words is compared."""
     n = 0
-    for own in (words[:99], words) if len(words) > 99 else (words,):  # the start tells nearly always
+    for own in (words[:45], words) if len(words) > 45 else (words,):  # the start tells nearly always
         n = sum([min(len(w), WORD) + 1 for w in set(own)])
         if n > BORDER * 5 // 4:
             return (MANY[0],)
