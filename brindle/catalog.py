@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from importlib.metadata import entry_points
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import schema
 from .plans.rql import rql
 from .schema import TableSpec, mode_name
-from .sources import storage
+from .sources import files, storage
 from .streaming import realtime
 
 
@@ -34,7 +35,14 @@ class Catalog:
         return TableSpec.from_json(self._file(name).read_text())
 
     def put(self, name: str, spec: TableSpec) -> None:
-        self._file(name).write_text(spec.to_json())
+        self._write(self._file(name), spec.to_json())
+
+    @staticmethod
+    def _write(file: Path, text: str) -> None:
+        """Moved into place, so that a reader sees the old or the new text."""
+        new = file.with_name(f"{file.name}.{uuid.uuid4().hex}.new")
+        new.write_text(text)
+        new.replace(file)
 
     def remove(self, name: str) -> None:
         self._file(name).unlink(missing_ok=True)
@@ -63,16 +71,16 @@ class Catalog:
     def add_node(self, name: str, node: str) -> None:
         rt = self._rt()
         rt[name] = sorted({*rt.get(name, []), node})
-        (self.root / "realtime.json").write_text(json.dumps(rt))
+        self._write(self.root / "realtime.json", json.dumps(rt))
 
     def remove_node(self, name: str, node: str) -> None:
         rt = self._rt()
         rt[name] = [n for n in rt.get(name, []) if n != node]
-        (self.root / "realtime.json").write_text(json.dumps(rt))
+        self._write(self.root / "realtime.json", json.dumps(rt))
 
     def history_files(self, spark: SparkSession, name: str, side: str = "hist") -> list[str]:
-        path = f"{self.location(name)}/{side}"
-        return sorted(spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()) if Path(path).exists() else []
+        where = self.location(name)
+        return sorted(f"{where}/{side}/{realtime.GROUP}={g}/{x}" for g in realtime.groups(spark, where, side) for x in files.children(spark, f"{where}/{side}/{realtime.GROUP}={g}") if x.endswith(".parquet"))
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return realtime.hybrid(spark, self.location(name), self.get(name))

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.rql import expression, plain_numbers
-from ..schema import ColumnSpec, TableSpec, parse_text
-from ..sources import storage
-from .rollup import FIRST_SEQ, rollup
+from ..schema import AggSpec, ColumnSpec, TableSpec, parse_text
+from ..sources import files, storage
+from .rollup import FIRST_SEQ, LAST_SEQ, rollup
 
 
 def computed(df: DataFrame, spec: ColumnSpec, value: str) -> Column:
@@ -40,42 +41,72 @@ def alter_columns(df: DataFrame, new: list[tuple[ColumnSpec, str]]) -> DataFrame
     return df.withColumns({have[c.name.lower()]: computed(df, c, v) for c, v in new if c.name.lower() in have})
 
 
-def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace a dataset by ``change`` of it: written beside it first, the old kept until the new is in place."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    token = uuid.uuid4().hex
+def partitions(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Names of the partition columns of a dataset, from its folders."""
+    out: list[str] = []
+    while folders := [x for x in files.children(spark, path) if "=" in x and x[0] not in "_."]:
+        out.append(folders[0].split("=", 1)[0])
+        path = f"{path}/{folders[0]}"
+    return tuple(out)
+
+
+def dataset(spark: SparkSession, path: str, parts: tuple[str, ...]) -> DataFrame:
+    """A dataset with its partition columns as text, as the folders have them."""
+    df = spark.read.parquet(path)
+    if not parts:
+        return df
+    schema = T.StructType([f for f in df.schema if f.name not in parts])
+    for p in parts:
+        schema = schema.add(p, "string")
+    return spark.read.schema(schema).parquet(path)
+
+
+def rewrite(spark: SparkSession, path: str, change, write=None) -> None:
+    """Replace a dataset by ``change`` of it, its partition columns kept: written beside it first, the old kept until the new is in place.
+
+    write(df, path, partition columns): how it is written, plainly by default. Between the
+    two moves there is a moment without the folder; readers that hit it fail and may retry.
+    """
+    token, parts = uuid.uuid4().hex, partitions(spark, path)
     new, old = f"{path.rstrip('/')}.new-{token}", f"{path.rstrip('/')}.old-{token}"
-    change(spark.read.parquet(path)).write.parquet(new)
-    if not fs.rename(at(path), at(old)):
-        raise OSError(f"can't move {path}")
-    if not fs.rename(at(new), at(path)):
-        fs.rename(at(old), at(path))
-        raise OSError(f"can't move {new}")
-    fs.delete(at(old), True)
+    out = change(dataset(spark, path, parts))
+    if write:
+        write(out, new, parts)
+    else:
+        out.write.partitionBy(*parts).parquet(new) if parts else out.write.parquet(new)
+    files.move(spark, path, old)
+    try:
+        files.move(spark, new, path)
+    except OSError:
+        files.move(spark, old, path)
+        raise
+    files.delete(spark, old)
     spark.catalog.refreshByPath(path)
 
 
 def compact(spark: SparkSession, path: str, spec: TableSpec, *, bytes_per_file: int = 1 << 31) -> None:
-    """Merge small files: rolled up by the dims with grouping, else sorted by them. Answers of aggregates stay."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    files = max(1, -(-size // bytes_per_file))
+    """Merge small files within each partition folder: rolled up by the dims with grouping, else sorted by them. Answers of aggregates stay.
+
+    Files are dealt out by ranges of the dims, so that they don't overlap, with the
+    table's storage mode and indexes.
+    """
+    n = max(1, -(-files.size(spark, path) // bytes_per_file))
 
     def merged(df: DataFrame) -> DataFrame:
+        parts = [c for c in df.columns if c not in {x.name for x in spec.columns} and c not in (FIRST_SEQ, LAST_SEQ)]
+        dims = [*parts, *[d for d in spec.agg.dims if d not in parts]]
         if spec.agg.grouping:
-            df = rollup(df, spec.agg, keep_seq=FIRST_SEQ in df.columns)
-        out = df.repartitionByRange(files, *spec.agg.dims) if spec.agg.dims and files > 1 else df.coalesce(files)
-        return out.sortWithinPartitions(*spec.agg.dims) if spec.agg.dims else out
+            df = rollup(df, AggSpec(True, dims, spec.agg.metrics), keep_seq=FIRST_SEQ in df.columns)
+        if dims:
+            return df.repartitionByRange(n, *dims).sortWithinPartitions(*dims)
+        return df.repartition(n)
 
-    rewrite(spark, path, merged)
+    rewrite(spark, path, merged, lambda df, new, parts: storage.writer(df, spec, parts).parquet(new))
 
 
-def to_history(rt: DataFrame, spec: TableSpec, path: str, partition: str, value: Column, *, seq=None) -> None:
-    """Realtime rows into history partitions by an expression, rolled up in each; only partitions with rows are added to."""
-    keyed = rt.withColumn(partition, value)
+def to_history(rt: DataFrame, spec: TableSpec, path: str, partition: str, value: Column, *, select: dict[str, Column] | None = None, where: Column | None = None, seq=None) -> None:
+    """Rows into history partitions by an expression, rolled up in each; only partitions with rows are added to. select: columns computed on the way; where: rows that go over."""
+    keyed = (rt if where is None else rt.where(where)).withColumn(partition, value).withColumns(select or {})
     storage.write(keyed.select(*[c.name for c in spec.columns], *[c for c in keyed.columns if c.startswith("_seq_")], partition), path, spec, mode="append", partition_by=(partition,), seq=seq)
 
 

@@ -6,15 +6,18 @@ import tempfile
 import uuid
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import registry
 from .operators import maintenance, relational
 from .operators.filters import Filter
 from .operators.rollup import rollup
 from .plans.rql import rql
 from .schema import AggSpec, ColumnSpec, Metric, TableSpec
 from .sources import csvio, storage
+from .streaming import realtime
 from .streaming.ingest import IngestSpec, csv_messages, ingest_json, normalise
 
 QUERIES: dict = {}
@@ -59,7 +62,14 @@ RQL = [
     ("filter_in", "part", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 7)", None),
     ("filter_not_in", "part", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 5, 7)", None),
     ("filter_between", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000.0 AND 50000.0", None),
-    ("filter_is_null", "documents", "SELECT doc_id FROM documents WHERE lang IS NOT NULL", None),
+    ("filter_is_null", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey % (o_custkey % 3) IS NOT NULL", "SELECT o_orderkey FROM orders WHERE o_orderkey % nullif(o_custkey % 3, 0) IS NOT NULL"),
+    ("filter_is_missing", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey % (o_custkey % 3) IS NULL", "SELECT o_orderkey FROM orders WHERE o_orderkey % nullif(o_custkey % 3, 0) IS NULL"),
+    ("filter_in_set", "orders", "SELECT o_orderkey FROM orders WHERE o_custkey IN (1, 4, 9, 16, 25, 36, 49, 64, 81, 100, 121, 144, 169, 196, 225, 256)", None),
+    ("bitwise_not", "nation", "SELECT n_nationkey, ~n_nationkey AS v, ~(n_nationkey + 1) AS w FROM nation", "SELECT n_nationkey, ~n_nationkey AS v, ~(n_nationkey + 1::BIGINT) AS w FROM nation"),
+    ("one_row", "region", "SELECT 1 + 2 AS v, 'x' AS s", "SELECT 3::BIGINT AS v, 'x' AS s"),
+    ("library_functions", "nation", "SELECT UPPER(n_name) AS u, LENGTH(n_name) AS n FROM nation", "SELECT upper(n_name) AS u, length(n_name)::INT AS n FROM nation"),
+    ("agg_group_empty", "orders", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY o_orderstatus", None),
+    ("date_between", "orders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN 820454400000 AND 852076800000 AND o_orderdate != 820627200000", "SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS o_orderdate FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-01-01' AND o_orderdate <> TIMESTAMP '1996-01-03'"),
     ("predicate_expr", "lineitem", "SELECT l_orderkey, l_linenumber, (l_quantity > 10.0) AS p FROM lineitem", "SELECT l_orderkey, l_linenumber, l_quantity > 10 AS p FROM lineitem"),
     ("agg_global", "lineitem", "SELECT COUNT(*) AS n, SUM(l_linenumber) AS s, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi, AVG(l_linenumber) AS m FROM lineitem", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_linenumber) AS m FROM lineitem"),
     ("agg_empty", "lineitem", "SELECT COUNT(*) AS n, SUM(l_linenumber) AS s FROM lineitem WHERE l_linenumber > 1000", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem WHERE l_linenumber > 1000"),
@@ -90,9 +100,11 @@ def pricing_summary(spark, sf_dir):
 
 # ---- filter trees
 FILTERS = {
-    "filter_tree_like": (Filter("like", "p_type", ("%BRASS",)), "part", "p_partkey", "p_type LIKE '%BRASS'"),
-    "filter_tree_not_like": (Filter("not_like", "p_type", ("%BRASS",)), "part", "p_partkey", "p_type NOT LIKE '%BRASS'"),
+    "filter_tree_like": (Filter("like", "p_type", ("%M",)), "part", "p_partkey", "p_type LIKE '%M'"),
+    "filter_tree_not_like": (Filter("not_like", "p_type", ("S%",)), "part", "p_partkey", "p_type NOT LIKE 'S%'"),
     "filter_tree_not": (~(Filter("greater", "l_quantity", (10.0,)) & Filter("in", "l_linenumber", (1, 2))), "lineitem", "l_orderkey", "NOT (l_quantity > 10 AND l_linenumber IN (1, 2))"),
+    "filter_tree_not_equal": (Filter("not_equal", "p_type", ("SMALL",)), "part", "p_partkey", "p_type <> 'SMALL'"),
+    "filter_tree_unknown": (~(Filter("unknown") & Filter("less", "p_size", (10,))) & Filter("greater", "p_size", (4,)), "part", "p_partkey", "p_size > 4"),
     "filter_tree_or_equals": (Filter("equal", "p_size", (3,)) | Filter("equal", "p_size", (9,)) | Filter("equal", "p_size", (11,)), "part", "p_partkey", "p_size IN (3, 9, 11)"),
     "filter_tree_not_between": (Filter("not_between", "p_retailprice", (950.0, 1500.0)), "part", "p_partkey", "p_retailprice NOT BETWEEN 950 AND 1500"),
     "filter_tree_range": (Filter("greater_equal", "o_totalprice", (9000.0,)) & Filter("less_equal", "o_totalprice", (90000.0,)), "orders", "o_orderkey", "o_totalprice BETWEEN 9000 AND 90000"),
@@ -128,9 +140,11 @@ def rollup_remerge(spark, sf_dir):
 PROPS = TableSpec([ColumnSpec("event_id", "BIGINT"), ColumnSpec("k", "BIGINT", default=-1), ColumnSpec("missing", "VARCHAR", default="none")])
 
 
-@query("ingest_json_defaults", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 'none' AS missing FROM events")
+@query("ingest_json_defaults", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN user_id WHEN event_id % 5 = 1 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, 'none' AS missing FROM events")
 def ingest_json_defaults(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select("event_id", "props")
+    # a fifth of the messages has the key by its alias, a fifth has neither
+    other = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"kk": '), F.col("user_id").cast("string"), F.lit("}"))).when(F.col("event_id") % 5 == 1, F.lit('{"more": 1}'))
+    ev = table(spark, sf_dir, "events").select("event_id", F.coalesce(other, "props").alias("props"))
     spec = TableSpec([c for c in PROPS.columns if c.name != "event_id"])
     return ingest_json(ev, spec, IngestSpec(alias={"k": "kk"}), body="props", keep=("event_id",)).drop("_pos")
 
@@ -198,11 +212,95 @@ def compaction_equivalence(spark, sf_dir):
 @query("prune_equivalence", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 900")
 def prune_equivalence(spark, sf_dir):
     path = _folder(spark)
-    table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey").write.parquet(path)
-    where = Filter("between", "l_orderkey", (100, 900))
-    files = storage.pruned_files(storage.manifest(spark, path, ("l_orderkey",)), where, ("l_orderkey",))
-    df = spark.read.parquet(*files) if files else spark.read.parquet(path)
-    return df.where(where.to_column())
+    spec = TableSpec([ColumnSpec("l_orderkey", "BIGINT"), ColumnSpec("l_linenumber", "INT"), ColumnSpec("l_quantity", "DOUBLE")], AggSpec(False, ["l_orderkey"]))
+    storage.write(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, spec, file_rows=20_000, manifest=True)
+    return storage.read(spark, path, spec, Filter("between", "l_orderkey", (100, 900)))
+
+
+def _as_json():
+    return F.to_json(F.struct("user_id", "event_type", F.lit(1).alias("n"), *[F.col("value").alias(c) for c in ("low", "high", "first_value", "last_value")]))
+
+
+def _streamed(spark, sf_dir, make=None, **how):
+    """Events through ingestion: three files of messages, a batch each; the table's location."""
+    path = _folder(spark)
+    messages = table(spark, sf_dir, "events").select(F.col("event_id").alias("_at"), (_as_json() if make is None else make).alias("value"))
+    fetch = {"type": "json", "path": f"{path}/in", "max.files": 1} | how.pop("fetch", {})
+    total = messages.count()
+    for i in range(3):  # a file at a time, so that arrival follows the ids
+        own = messages.where(F.floor(F.col("_at") * 3 / total) == i)
+        own.coalesce(1).sortWithinPartitions("_at").select("value").write.mode("append").text(f"{path}/in")
+        realtime.start(realtime.source(spark, fetch), EVENTS, f"{path}/t", f"{path}/check", fetch=fetch, available_now=True, **how).awaitTermination()
+    return f"{path}/t"
+
+
+def _summed(df):
+    return df.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+_SUMMED_SQL = "SELECT user_id, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL"
+
+
+@query("rt_hybrid", _SUMMED_SQL)
+def rt_hybrid(spark, sf_dir):
+    return _summed(realtime.hybrid(spark, _streamed(spark, sf_dir), EVENTS))
+
+
+@query("rt_merge_hybrid", _EVENTS_SQL)
+def rt_merge_hybrid(spark, sf_dir):
+    at = _streamed(spark, sf_dir)
+    realtime.merge(spark, at, EVENTS, "merged")
+    return realtime.hybrid(spark, at, EVENTS)
+
+
+@query("rt_mergefrag_hybrid", _SUMMED_SQL)
+def rt_mergefrag_hybrid(spark, sf_dir):
+    at = _streamed(spark, sf_dir)
+    realtime.merge(spark, at, EVENTS, "merged")
+    maintenance.compact(spark, f"{at}/hist", EVENTS)
+    return _summed(realtime.hybrid(spark, at, EVENTS))
+
+
+@query("ingest_csv_stream", _SUMMED_SQL)
+def ingest_csv_stream(spark, sf_dir):
+    line = F.concat_ws(",", "user_id", "event_type", F.lit("1"), *["value"] * 4)
+    at = _streamed(spark, sf_dir, line, fetch={"type": "csv", "header": [c.name for c in EVENTS.columns]})
+    return _summed(realtime.hybrid(spark, at, EVENTS))
+
+
+@query("ingest_stats", "SELECT count(*)::BIGINT AS consumed, count(*)::BIGINT AS produced FROM events")
+def ingest_stats(spark, sf_dir):
+    got: list = []
+    _streamed(spark, sf_dir, stats=got)
+    return spark.createDataFrame([(sum(x["consumed"] for x in got), sum(x["produced"] for x in got))], "consumed bigint, produced bigint")
+
+
+@query("rt2his_select_where", "SELECT user_id, event_type, sum(n) AS n, min(low) AS low, kind FROM (SELECT user_id, event_type, 2::BIGINT AS n, value AS low, 'type=' || event_type AS kind FROM events WHERE user_id > 10) GROUP BY ALL")
+def rt2his_select_where(spark, sf_dir):
+    at, his = _streamed(spark, sf_dir), _folder(spark)
+    realtime.to_history(spark, at, EVENTS, his, "kind", "concat('type=', event_type)", select={"n": "n * 2"}, where="user_id > 10")
+    if realtime.groups(spark, at, "rt"):
+        raise AssertionError("rows that moved are still there")
+    return storage.read(spark, his, EVENTS).select("user_id", "event_type", "n", "low", "kind")
+
+
+@query("watermark_window", "SELECT day, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS day FROM events) WHERE day + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '36 hours' GROUP BY day")
+def watermark_window(spark, sf_dir):
+    """Counts by day in append mode: a day comes out when the watermark has passed its end."""
+    path = _folder(spark)
+    ev = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").select(F.col("ts").cast("timestamp").alias("ts"))
+    w = ev.withWatermark("ts", "36 hours").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+    w.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("day timestamp_ntz, n bigint").parquet(f"{path}/out")
+
+
+@query("own_functions", "SELECT o_orderstatus, max(o_orderkey * 3 + 1) AS high FROM orders GROUP BY o_orderstatus")
+def own_functions(spark, sf_dir):
+    def triple(x: pd.Series) -> pd.Series:
+        return x * 3 + 1
+
+    registry.register(spark, "brindle_triple", triple, "bigint")
+    return rql("SELECT o_orderstatus, MAX(BRINDLE_TRIPLE(o_orderkey)) AS high FROM orders GROUP BY o_orderstatus", table(spark, sf_dir, "orders"))
 
 
 @query("csv_roundtrip", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -272,12 +370,12 @@ _sql_query("join_left", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT
 _sql_query("join_full", "SELECT s.s_suppkey, n.n_name FROM {supplier} s FULL OUTER JOIN {nation} n ON s.s_nationkey = n.n_nationkey", tables=("supplier", "nation"))
 _sql_query("join_theta", "SELECT a.n_name AS x, b.n_name AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", tables=("nation",))
 _sql_query("semi_join", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)", tables=("orders", "customer"))
-_sql_query("anti_join", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)", tables=("orders", "customer"))
+_sql_query("anti_join", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", tables=("orders", "customer"))
 _sql_query("window_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM {orders}", tables=("orders",))
 _sql_query("window_frame", "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM {events}", tables=("events",))
 _sql_query("set_union", "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey AS k FROM {region}", tables=("nation", "region"))
 _sql_query("set_intersect", "SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey AS k FROM {customer}", tables=("orders", "customer"))
-_sql_query("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders}", tables=("orders", "customer"))
+_sql_query("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders} WHERE o_totalprice > 400000", tables=("orders", "customer"))
 _sql_query("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", tables=("lineitem",))
 _sql_query("rollup_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", tables=("lineitem",))
 _sql_query("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))", tables=("lineitem",))
@@ -316,6 +414,21 @@ def range_join(spark, sf_dir):
     return relational.range_join(table(spark, sf_dir, "part"), r, point="p_retailprice", low="low", high="high", width=40.0).select("p_partkey", "k")
 
 
+@query("interval_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey * 3 % 40 <= b.n_nationkey * 3 % 40 + 2 AND b.n_nationkey * 3 % 40 <= a.n_nationkey * 3 % 40 + 4")
+def interval_join(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    low = F.col("n_nationkey") * 3 % 40
+    a = n.select(F.col("n_name").alias("x"), low.alias("a0"), (low + 4).alias("a1"))
+    b = n.select(F.col("n_name").alias("y"), low.alias("b0"), (low + 2).alias("b1"))
+    return relational.interval_join(a, b, low="a0", high="a1", b_low="b0", b_high="b1", width=5.0).select("x", "y")
+
+
+@query("theta_join", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_acctbal < s.s_acctbal AND c.c_nationkey <> s.s_nationkey WHERE s.s_suppkey < 5")
+def theta_join(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier").where("s_suppkey < 5")
+    return relational.theta_join(c, s, (c.c_acctbal < s.s_acctbal) & (c.c_nationkey != s.s_nationkey)).select("c_custkey", "s_suppkey")
+
+
 @query("top_k_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
 def top_k_per_group(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
