@@ -8,6 +8,7 @@ by the size of the set, so that only sizes within the threshold's ratio meet.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +26,36 @@ COMMON = {
 WORDS = tuple(sorted({w for own in COMMON.values() for w in own}))
 #: Content words a chain; bits of a hashed chain.
 CHAIN, BITS = 2, 32
+#: Rows of the sample from which ranges are cut, for each range.
+SAMPLED = 32
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda inside asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct hashed chains of a text. A text with no chain has the hash of its whole; an empty one none."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, f"(?<= )(?=(?:{'|'.join(WORDS)}) )", "~")
-    content = r"(?:~[^ ]++ )*+[^~ ][^ ]*+ "
-    chains = F.regexp_extract_all(marked, F.lit(rf"~([^ ]++ (?=((?:{content}){{{chain}}})))"), F.lit(2))
+    """Sorted distinct hashed chains of a text. A text with no chain has the hash of its whole; an empty one none.
+
+    The content words are kept in order, each with whether a common word stands just
+    before it; a chain begins at each that has one. Every word is looked at a few times,
+    so the cost is that of the text's length.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " ")), " ")
     low = F.lit((1 << BITS) - 1)
-    sigs = F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.regexp_replace(c, "~[^ ]++ ", "")).bitwiseAND(low))))
-    return F.when(text == "", F.array().cast("array<bigint>")).when(F.size(sigs) == 0, F.array(F.xxhash64(text).bitwiseAND(low))).otherwise(sigs)
+
+    def content(own: Column) -> Column:
+        known = F.transform(own, lambda w: w.isin(*WORDS))
+        return bind(known, lambda k: F.filter(F.transform(own, lambda w, i: F.struct(w.alias("w"), F.get(k, i).alias("k"), F.coalesce(F.get(k, i - 1), F.lit(False)).alias("s"))), lambda x: ~x["k"] & (x["w"] != "")))
+
+    def chains(own: Column) -> Column:
+        at = lambda i: F.concat(*[F.concat(F.get(own, i + m)["w"], F.lit(" ")) for m in range(chain)])
+        found = F.transform(own, lambda x, i: F.when(x["s"] & (i + chain <= F.size(own)), F.xxhash64(at(i)).bitwiseAND(low)))
+        return F.sort_array(F.array_distinct(F.filter(found, lambda h: h.isNotNull())))
+
+    sigs = bind(bind(words, content), chains)
+    return bind(sigs, lambda own: F.when(text == "", F.array().cast("array<bigint>")).when(F.size(own) == 0, F.array(F.xxhash64(text).bitwiseAND(low))).otherwise(own))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -50,35 +70,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def literal(values: list, kind: str) -> Column:
+    """A constant of this type, read from JSON, so that a long list is one node of the plan."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), kind)
+
+
 def with_next(rows: DataFrame, id_col: str, tie_col: str, carry: list[str]) -> DataFrame:
     """Each row with the columns ``carry`` of the next one by descending id (after the last: the first), as next_<name>.
 
-    Ids are cut into ranges of about equal size, each a window of its own; the first
-    row of each range is also laid at the end of the one before. Equal ids go by
-    ``tie_col``, null ids come last. Only the ranges' ends (a few a shuffle partition)
-    reach the driver.
+    Equal ids go by the hash of ``tie_col`` and then by it, null ids come last. Rows are cut
+    into ranges of (id, hash), each a window of its own, so that equal ids part as well; the
+    first row of each range is also laid at the end of the one before. The ranges come from
+    a sample of a fixed number of rows a shuffle partition, and only it and the ranges' ends
+    reach the driver. Ids may be of any type that JSON and an order know: numbers, text, dates.
     """
     spark = rows.sparkSession
     k = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select(id_col)
-    cuts = ids.agg(F.percentile_approx(id_col, [i / k for i in range(1, k)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(id_col))), F.lit(0)) if cuts else F.lit(0)
-    part = F.when(F.col(id_col).isNull(), 0).otherwise(part)
-    heads = {r[0]: r[1] for r in ids.withColumn("__part", part).groupBy("__part").agg(F.max(id_col)).collect()}
+    kind = f"struct<i:{dict(rows.dtypes)[id_col]},h:bigint>"
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(tie_col).alias("h"))
+    sample = rows.select(key.alias("key")).orderBy(F.xxhash64("key.i", "key.h", F.lit(1))).limit(SAMPLED * k)
+    got = [r[0].asDict() for r in sample.orderBy("key").collect()]
+    cuts = [got[len(got) * j // k] for j in range(1, k)] if len(got) > k else []
+    step = max(1, math.isqrt(len(cuts)))
+    # two looks, at every step-th cut and then at those between two of them
+    coarse, fine = literal(cuts[::step], f"array<{kind}>"), literal([cuts[j : j + step] for j in range(0, len(cuts), step)], f"array<array<{kind}>>")
+    below = F.size(F.filter(coarse, lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
+    part = F.when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * step + F.size(F.filter(F.get(fine, F.col("__c") - 1), lambda c: c <= F.col("__key")))) if cuts else F.lit(0)
+    placed = rows.withColumn("__key", key).withColumn("__c", below).withColumn("__part", part.cast("int"))
+    heads = {r[0]: r[1] for r in placed.groupBy("__part").agg(F.to_json(F.max("__key"))).collect()}
     order = sorted(heads, reverse=True)
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first one's is the last
-    full = range(max(order, default=0) + 1)
-    top = F.array(*[F.lit(heads.get(p)) for p in full]).cast("array<bigint>")
-    to = F.array(*[F.lit(before.get(p, 0)) for p in full])
-    own = rows.withColumn("__part", part)
-    at = F.col("__part") + 1
-    places = F.when(F.col(id_col).eqNullSafe(F.element_at(top, at)), F.array(F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost")), F.struct(F.element_at(to, at).alias("p"), F.lit(True).alias("ghost"))))
-    places = places.otherwise(F.array(F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost"))))
-    own = own.withColumn("__at", F.explode(places)).drop("__part")
-    w = Window.partitionBy("__at.p").orderBy("__at.ghost", F.col(id_col).desc_nulls_last(), tie_col)
-    return own.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("not __at.ghost").drop("__at")
+    # the first row of a range also goes to the range before, that of the first range to the last
+    ends = spark.createDataFrame([(p, heads[p], order[j - 1]) for j, p in enumerate(order)], "__part int, __head string, __to int")
+    own = placed.join(F.broadcast(ends), "__part")
+    here = F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost"))
+    ghost = F.struct(F.col("__to").alias("p"), F.lit(True).alias("ghost"))
+    own = own.withColumn("__at", F.explode(F.when(F.to_json("__key") == F.col("__head"), F.array(here, ghost)).otherwise(F.array(here))))
+    w = Window.partitionBy("__at.p").orderBy("__at.ghost", F.col("__key").desc(), tie_col)
+    return own.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("not __at.ghost").drop("__at", "__key", "__c", "__part", "__head", "__to")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
@@ -91,7 +119,7 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """How like each fingerprint is to that of the text half replaced by the next document's, and to the next document's.
 
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The next document is that by descending id, equal ids by text; a lone
+    near_next. The next document is that by descending id, equal ids by a hash of the text and then the text; a lone
     document follows itself. Nulls count as empty texts, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text")).withColumn("sigs", signatures(F.col("text"), chain))

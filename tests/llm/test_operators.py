@@ -2,12 +2,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, chunks, langid, lines, matroska, mixing, ngramjoin, pii, queries, spotsigs, suffixes
@@ -313,23 +315,52 @@ def test_bpe_is_tiktoken(docs):
         assert x.ids == ids and x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and x.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
-def test_spotsigs(docs):
+def chains_of(text):
+    """The set of hashed chains, word by word."""
+    if not text:
+        return set()
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    content = [(w, i > 0 and words[i - 1] in spotsigs.WORDS) for i, w in enumerate(words) if w not in spotsigs.WORDS]
+    h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFFFF
+    out = {h(f"{a} {b} ") for (a, start), (b, _) in zip(content, content[1:], strict=False) if start}
+    return out or {h(text)}
+
+
+def printed(s):
+    return f"{len(s)}:" + "".join(f"{x:08x}" for x in sorted(s))
+
+
+def like(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_spotsigs_is_brute_force(docs):
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
     got = {r.doc_id: r for r in spotsigs.edited_likeness(docs).collect()}
-    prints = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
+    assert len(got) == len(rows)
     for r, nxt in zip(rows, rows[1:] + rows[:1], strict=True):
         half = len(r.text) // 2
         edited = r.text[: len(r.text) - half] + nxt.text[:half]
-        g = got[r.doc_id]
-        assert g.n_chars == len(r.text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and g.fingerprint == prints[r.doc_id].fingerprint
-        a, b = set(prints[r.doc_id].sigs), set(prints[nxt.doc_id].sigs)
-        assert g.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        a, b, c = chains_of(r.text), chains_of(edited), chains_of(nxt.text)
+        assert tuple(got[r.doc_id]) == (r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest(), printed(a), printed(b), like(a, b), like(a, c))
+    prints = {r.doc_id: chains_of(r.text) for r in rows}
     pairs = {(r.a, r.b) for r in spotsigs.near_duplicates(docs).collect()}
     reps = {}
     for d in sorted(prints):
-        reps.setdefault(prints[d].fingerprint, (d, set(prints[d].sigs)))
+        reps.setdefault(printed(prints[d]), (d, prints[d]))
     own = sorted((d, s) for d, s in reps.values() if s)
-    assert pairs == {(a, b) for i, (a, x) in enumerate(own) for b, y in own[i + 1 :] if len(x & y) / len(x | y) >= 0.8}
+    assert pairs == {(a, b) for i, (a, x) in enumerate(own) for b, y in own[i + 1 :] if like(x, y) >= 0.8}
+
+
+def test_spotsigs_of_odd_ids_and_long_runs(spark):
+    began = time.time()
+    long = spark.createDataFrame([("a", "the " * 250_000), ("b", "the cat " * 120_000), ("a", "of cats and dogs of men"), (None, "x"), (None, None), ("a", "of cats and dogs of men")], "doc_id string, text string")
+    got = spotsigs.edited_likeness(long).collect()
+    assert len(got) == 6 and time.time() - began < 60
+    rows = [(r.doc_id, r.text or "") for r in long.collect()]
+    assert sorted(r.fingerprint for r in got) == sorted(printed(chains_of(t)) for _, t in rows)
+    same = spotsigs.edited_likeness(spark.range(500).selectExpr("7L AS doc_id", "concat('of cats ', id, ' and dogs') AS text"))
+    assert same.count() == 500 and same.select("fingerprint").distinct().count() == 500
 
 
 def test_mixing_keeps_to_unrounded_weights():
