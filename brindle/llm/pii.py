@@ -130,11 +130,13 @@ def phone_from(text: str, plus: int) -> tuple[tuple[int, int] | None, int]:
 
 def url_from(text: str, start: int, body: int) -> tuple[int, int] | None:
     n, end = len(text), body
+    if end == n or text[end] not in ALNUM:
+        return None
     while end < n and not text[end].isspace() and text[end] not in URL_END:
         end += 1
     while end > body and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return (start, end) if end > body and text[body] in ALNUM else None
+    return (start, end) if end > body else None
 
 
 def account_after(text: str, start: int, cue_end: int) -> tuple[int, int] | None:
