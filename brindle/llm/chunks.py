@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import Scratch, hot_join, slices, text_or_empty
 
 #: Least, typical (a power of two, added to the least) and greatest bytes of a chunk; bytes a removed run has at least.
 LEAST, TYPICAL, GREATEST, RUN = 16, 32, 256, 64
@@ -90,18 +90,24 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """Remove what repeats an earlier chunk, across and within documents.
-
-    Earlier: by id, then place in the text. Columns: id, n_bytes, n_removed, n_spans,
-    kept_sha256 (of the remaining bytes), text (the remaining text). Nulls count as
-    empty texts; empty texts have no chunks. Rows that share an id are taken for the
-    same document: they get the same chunks removed. Other columns are ignored.
+    """Remove runs of chunks that repeat earlier ones, across and within documents.
+
+    Earlier: by id, then hash of the text, then place in it. A run of repeated chunks goes if
+    it has ``run`` bytes at least (or is the whole text); shorter ones stay, as a few
+    words recur by chance. Columns: id, n_bytes, n_removed, n_spans, kept_sha256 (of the
+    remaining bytes), text (the remaining text). Nulls count as empty texts; empty texts
+    have no chunks. Rows that share an id are documents of their own; rows that also
+    share the text are taken for one, and the same chunks go in each. Other columns are ignored.
     """
-    chunks = chunk_table(docs, id_col=id_col, text_col=text_col)
+    scratch = Scratch(docs.sparkSession)
+    flat = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t")).alias("id"), text_or_empty(text_col).alias("__text"))
+    chunks = scratch.store(chunk_table(flat, id_col="id", text_col="__text"), "chunks")
     # counted with partial sums first, so a chunk in very many documents is a row a task
-    twice = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1").select("digest", "first")
-    later = chunks.join(twice, "digest").where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
+    twice = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
+    later = hot_join(scratch, chunks, twice, ["digest"], "n", "twice").where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("gone"))
+    gone = scratch.store(gone, "gone")
+    scratch.drop_named("chunks", "twice")
     kind = dict(docs.dtypes)[id_col]
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
@@ -126,6 +132,5 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ru
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names[1:]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=names)
 
-    flat = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("__text"))
-    both = flat.join(gone, flat["id"].eqNullSafe(gone["__id"]), "left").select("id", "__text", "gone")
+    both = flat.join(gone, flat["id"].eqNullSafe(gone["__id"]), "left").select(F.col("id.i").alias("id"), "__text", "gone")
     return both.mapInArrow(apply, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string").withColumnRenamed("id", id_col)
