@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, Scratch, runs_hash, slices, text_or_empty
+from .common import U64, Scratch, hot_join, runs_hash, slices, text_or_empty
 from .chunks import cut_out
 from .pairs import groups
 
@@ -178,8 +178,8 @@ def spans(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, length:
     scratch.drop(shared)
     copies = rows.groupBy("anchor", "d1", "d2", "same").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("rep"))
     copies = scratch.store(copies, "copies")
-    equal = copies.where("n > 1").select("anchor", "d1", "d2", "rep")
-    whole = rows.join(equal, ["anchor", "d1", "d2"])
+    equal = copies.where("n > 1").select("anchor", "d1", "d2", "n", "rep")
+    whole = hot_join(scratch, rows, equal, ["anchor", "d1", "d2"], "n", "equal")
     if first_only:
         whole = whole.where(~(F.col("doc").eqNullSafe(F.col("rep.doc")) & (F.col("first") == F.col("rep.first"))))
     whole = whole.select("doc", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
@@ -230,7 +230,7 @@ def spans(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, length:
 
         for t in groups(batches, 1):
             if len(t[0]) > 1:
-                got = sorted(zip(*t[1:], strict=True), key=lambda r: (r[1] is not None, r[1], r[2]))
+                got = sorted(zip(*t[1:], strict=True), key=lambda r: (r[1]["i"] is not None, r[1]["i"], r[1]["t"], r[2]))
                 held += got
                 size += sum(len(r[3]) for r in got)
                 if size > ORDER_BYTES:
@@ -290,16 +290,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     copy goes. Columns: id, n_bytes, n_removed, n_spans (maximal runs of removed bytes),
     kept_sha256, and kept (the remaining bytes) if ``with_bytes``. Texts count as
     their UTF-8 bytes, nulls as empty. With keep="none" repeated rows repeat each
-    other; with keep="first" rows that share an id are taken for the same document.
-    Other columns are ignored.
+    other. Rows that share an id are documents of their own; with keep="first" rows that also
+    share the text are taken for one. Other columns are ignored.
     """
     if keep not in ("first", "none") or not 0 < anchor <= length:
         raise ValueError("keep is first or none, an anchor is no longer than the string")
     scratch = Scratch(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    found = spans(scratch, docs, id_col, text_col, length, anchor, keep)
+    flat = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t")).alias("id"), text_or_empty(text_col).alias("__text"))
+    found = spans(scratch, flat, "id", "__text", length, anchor, keep)
     found = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
-    both = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("__text")).join(found, F.col("id").eqNullSafe(F.col("__doc")), "left").select("id", "__text", "found")
+    both = flat.join(found, F.col("id").eqNullSafe(F.col("__doc")), "left").select(F.col("id.i").alias("id"), "__text", "found")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
 
     def apply(batches):
