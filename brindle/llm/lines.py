@@ -217,15 +217,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     """Keep one line, the first by id and place, of each component of similar lines.
 
     Columns: id, n_lines, n_removed, text (what stays). Blank lines aren't compared
-    and stay. A null text stays null and has no lines. Rows that share an id are
-    taken for the same document: the same lines go. Other columns are ignored.
+    and stay. A null text stays null and has no lines. Rows that share an id are documents
+    of their own, the first by a hash of the text; rows that also share the text are taken
+    for one, and the same lines go in each. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    flat = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    flat = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t")).alias("__id"), F.col(text_col).alias("__text"))
     gone = later_lines(scratch, flat, "__id", "__text", threshold)
     out = without(flat, gone, "__id", "__text")
     lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(F.split("__text", "\n", -1))).cast("bigint")
-    return out.select(F.col("__id").alias(id_col), lines.alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__kept").alias("text"))
+    return out.select(F.col("__id.i").alias(id_col), lines.alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__kept").alias("text"))
 
 
 def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +236,7 @@ def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(docs.sparkSession)
     cols = docs.columns
-    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t")).alias("__id"), F.col(text_col).alias("__text"))
     gone = later_lines(scratch, flat, "__id", "__text", threshold)
     out = without(flat, gone, "__id", "__text").where((F.col("__gone") == 0) | (F.trim(F.regexp_replace("__kept", r"\s+", "")) != ""))
     new = {text_col: F.col("__kept"), count_col: F.when(F.col("__gone") == 0, F.col(f"__row.`{count_col}`")).otherwise(F.length("__kept")) if count_col in cols else None}

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -278,6 +279,68 @@ def test_private_data_is_the_patterns():
     assert more["url"] == [(4, 27)] and len(more["account"]) == 1
 
 
+def test_documents_that_share_an_id_lose_only_their_own(spark):
+    random.seed(9)
+    text = lambda: " ".join("".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(90))
+    one, two, three = text(), text(), text()
+    rows = [(None, f"{one}\n{two}"), (None, f"{three}\n{one}"), (4, f"{two}\n{three}"), (4, text()), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r.text or "" for r in lines.dedup(docs).collect()]
+    assert sum(t.count(x) for t in kept for x in (one, two, three)) == 3 and any(rows[3][1] == t for t in kept)
+    assert sorted(r.n_bytes - r.n_removed for r in suffixes.dedup(docs, keep="none").collect())[-1] == len(rows[3][1])
+    left = {r.text for r in chunks.dedup(docs).collect()}
+    assert rows[3][1] in left and sum(map(len, left)) < 4.3 * len(one)
+
+
+def test_adversarial_addresses_are_linear():
+    began = time.time()
+    assert pii.find("http://-" * 130_000, pii.automaton())["url"] == []
+    assert time.time() - began < 5
+
+
+def test_private_data_query_is_the_patterns(docs):
+    """The digest of the base spans of whole documents, from the four patterns themselves."""
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(digits(t)) <= 19 and pii.luhn(digits(t))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(digits(t)) <= 15),
+    ]
+    got = {r.doc_id: r for r in queries.op4_pii(docs.sparkSession, DATA).collect()}
+    for r in docs.collect():
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p, good in kinds for m in re.finditer(p, r.text or "") if good(m[0])]
+        own = got[r.doc_id]
+        assert own.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(own.spans.split(",")) | {""} and own.n_email == sum(s.startswith("email:") for s in spans)
+
+
+def test_media_query_is_brute_force(docs):
+    got = {r.doc_id: r for r in queries.op6_matroska(docs.sparkSession, DATA).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        own = got[r.doc_id]
+        assert (own.n_bytes, own.payload_bytes, own.payload_sha256, own.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert own.media_bytes > len(payload) and len(own.media_sha256) == 64
+
+
+def test_language_query_learns_from_its_folds_only(spark, docs):
+    out = queries.op2_language_id(spark, DATA)
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 for d, r in got.items())
+    wrong = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    again = {r.doc_id: r.lang_pred for r in langid.predict(wrong, langid.fit(wrong, ~langid.held_out())).collect()}
+    assert again == {d: r.lang_pred for d, r in got.items()}
+
+
+def test_training_sample_is_bounded(spark):
+    same = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text ', id) AS text", "if(id % 3 = 0, 'xx', 'yy') AS lang")
+    one = spark.range(3000).selectExpr("1L AS doc_id", "'the same text' AS text", "concat('l', id % 90) AS lang")
+    for docs, want in ((same, 60), (one, 60)):
+        assert langid.training_rows(docs, F.lit(True), "doc_id", "text", "lang", 60).count() == want
+
+
 def test_matroska_round_trips():
     random.seed(1)
     for n in (0, 1, 575, 576, 577, 5000, 200_000):
