@@ -56,7 +56,8 @@ def kinds(words: list[str]) -> tuple[int, ...]:
     """Characters of the shingles by which a line of these words is compared."""
     n = 0
     for own in (words[:45], words) if len(words) > 45 else (words,):  # the start tells nearly always
-        n = sum([min(len(w), WORD) + 1 for w in set(own)])
+        different = set(own)
+        n = len(" ".join(different)) + 1 if max(map(len, different)) <= WORD else sum([min(len(w), WORD) + 1 for w in different])
         if n > BORDER * 5 // 4:
             return (MANY[0],)
     return (FEW[0],) if n <= BORDER else (FEW[0], MANY[0])
@@ -70,32 +71,44 @@ def multipliers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 _HASHES = {k: multipliers(k, rows * bands) for k, rows, bands in (FEW, MANY)}
 
 
+def hashed(lines: list[str], k: int) -> list[np.ndarray]:
+    """The hashed shingles of several lines at once, in the order of the text."""
+    flat = runs_hash(code_points("\n".join([x for x in lines if len(x) >= k])).astype(U64), k)
+    out, s = [], 0
+    for x in lines:
+        if len(x) >= k:
+            out.append(flat[s : s + len(x) - k + 1])
+            s += len(x) + 1
+        else:
+            out.append(shingles(x, k))
+    return out
+
+
+def shingle_sets(items: list[bytes], lines: list[str]) -> list[np.ndarray]:
+    """The shingle sets of several items, each by the length of shingle at its end."""
+    out: list = [None] * len(items)
+    for k in (FEW[0], MANY[0]):
+        at = [i for i, item in enumerate(items) if item[16] == k]
+        for i, x in zip(at, hashed([lines[i] for i in at], k), strict=True):
+            out[i] = sorted_set(x)
+    return out
+
+
 def band_keys(lines: list[str], how: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands of several lines at once, and their sketches, a row a line; lines aren't empty."""
     k, rows, bands = how
     odd, add = _HASHES[k]
-    h = []
-    long = [x for x in lines if len(x) >= k]
-    if long:
-        flat = runs_hash(code_points("\n".join(long)).astype(U64), k)
-        s = 0
-        for x in long:
-            h.append(flat[s : s + len(x) - k + 1])
-            s += len(x) + 1
-    hashes = iter(h)
-    parts = [next(hashes) if len(x) >= k else shingles(x, k) for x in lines]
+    parts = hashed(lines, k)
     edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]])
     words = (np.concatenate(parts) >> U64(32)).astype(np.uint32)
     sig = np.empty((rows * bands, len(lines)), np.uint32)
     for i in range(0, rows * bands, 6):
         sig[i : i + 6] = np.minimum.reduceat(words[None, :] * odd[i : i + 6] + add[i : i + 6], edges, axis=1)
-    out = np.empty((len(lines), bands), U64)
-    for b in range(bands):
-        key = np.full(len(lines), U64(b + 1) * MIX + U64(k))
-        for r in range(rows):
-            key = mix64(key ^ sig[b * rows + r].astype(U64))
-        out[:, b] = key
-    return out, (sig[:SKETCH] >> np.uint32(4)).astype(np.uint8).T
+    # all bands at once, so that short batches cost few calls
+    keys = (np.arange(1, bands + 1, dtype=U64) * MIX + U64(k))[:, None]
+    for row in sig.reshape(bands, rows, len(lines)).swapaxes(0, 1):
+        keys = mix64(keys ^ row.astype(U64))
+    return np.ascontiguousarray(keys.T), (sig[:SKETCH] >> np.uint32(4)).astype(np.uint8).T
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,12 +205,15 @@ def later_lines(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, t
         one = lines.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("body").alias("body"))
         return scratch.store(one.join(ids, "line").select("id", F.lit(1).cast("bigint").alias("copies"), "body"), "bodies")
 
-    _, edges = similar_pairs(scratch, keyed, light, bodies, lambda i, x: shingles(x, i[16]), threshold, "lines", links=False)
+    _, edges = similar_pairs(scratch, keyed, light, bodies, lambda i, x: shingles(x, i[16]), threshold, "lines", links=False, to_sets=shingle_sets)
     roots = components(scratch, edges.select(F.substring("a", 1, 16).alias("a"), F.substring("b", 1, 16).alias("b")))
     scratch.drop_named(*[f"keyed-{turn}" for turn in range(TURNS)], "light", "wanted", "bodies", "lines-links", "lines-pivot-edges")
     # a row a line first, then a row a component; only lines whose component has several places meet the places again
     by_line = places.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
-    by_line = scratch.store(by_line.join(roots, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("part"), "n", "first"), "by-line")
+    # a line with one place and no component stays, whatever else there is; roots aren't nodes of their own
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    by_line = by_line.join(roots, F.col("line") == F.col("node"), "left").where("n > 1 or node is not null")
+    by_line = scratch.store(by_line.select("line", F.coalesce("root", "line").alias("part"), "n", "first"), "by-line")
     parts = by_line.groupBy("part").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("k")).where("total > 1")
     again = hot_join(scratch, by_line.select("line", "part", "n"), parts, ["part"], "k", "parts").select("line", "n", "first")
     gone = hot_join(scratch, places, again, ["line"], "n", "again").where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))

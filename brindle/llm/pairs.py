@@ -25,17 +25,40 @@ from .common import Scratch, components, hot_join
 
 #: Items a block. Tokens worked on at once when sets are compared. Items of a bucket from which on it has a pivot; pivots an item is compared with.
 BLOCK, TOKENS, LARGE, PIVOTS = 1024, 4096, 128, 3
+#: Up to so many pairs of a cell are compared one by one, more by products of matrices.
+FEW_PAIRS = 40
 #: Bytes of a sketch, and the share that must agree; of 64 a pair at 0.8 has 51 on average with a deviation of 3.2, of 48 it has 38 with 2.8.
 SKETCH, AGREE = 64, 0.53
 
 
-def groups(batches, width: int):
+def values(b: pa.RecordBatch) -> list[list]:
+    return [c.to_pylist() for c in b.columns]
+
+
+def arrays(c: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as arrays."""
+    flat, at = c.flatten().to_numpy(), c.offsets.to_numpy()
+    at = (at - at[0]).tolist()
+    return [flat[s:e] for s, e in zip(at, at[1:], strict=False)]
+
+
+def pieces(batches, rows: int = 256, size: int = 1 << 22):
+    """Batches cut until they have few rows and bytes, or one row."""
+    for b in batches:
+        if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+            half = b.num_rows // 2
+            yield from pieces((b.slice(0, half), b.slice(half)), rows, size)
+        else:
+            yield b
+
+
+def groups(batches, width: int, columns=values):
     """Runs of rows that agree in the first ``width`` columns (integers without nulls) of sorted batches, as lists of columns."""
     held: list[list] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.to_pylist() for c in b.columns]
+        cols = columns(b)
         numbers = [b.column(i).to_numpy() for i in range(width)]
         new = np.zeros(b.num_rows, bool)
         for c in numbers:
@@ -73,10 +96,15 @@ class Rows:
         return out
 
 
-def own_pairs(key: int, keys: list[list[int]], blk: np.ndarray, one: int, two: int) -> np.ndarray:
+def lesser(keys: np.ndarray, key: int) -> list[int]:
+    """What comes before ``key`` in a sorted array."""
+    return keys[: keys.searchsorted(key)].tolist()
+
+
+def own_pairs(key: int, keys: list[np.ndarray], blk: np.ndarray, one: int, two: int) -> np.ndarray:
     """Upper triangle of the pairs whose least common key is this bucket's, across the cell's two blocks."""
     m = len(keys)
-    less = [[k for k in ks if k < key] for ks in keys]
+    less = [lesser(ks, key) for ks in keys]
     ok = np.triu(np.ones((m, m), bool), 1)
     if one != two:
         ok &= blk[:, None] != blk[None, :]
@@ -92,12 +120,11 @@ def own_pairs(key: int, keys: list[list[int]], blk: np.ndarray, one: int, two: i
     return ok
 
 
-def pair_here(key: int, keys: list[list[int]], blk: list[int], one: int, two: int) -> bool:
+def pair_here(key: int, keys: list[np.ndarray], blk: list[int], one: int, two: int) -> bool:
     """The same for a cell of two items."""
     if one != two and blk[0] == blk[1]:
         return False
-    other = set(keys[1])
-    return not any(k < key and k in other for k in keys[0])
+    return set(lesser(keys[0], key)).isdisjoint(lesser(keys[1], key))
 
 
 def in_both(x: np.ndarray, y: np.ndarray) -> int:
@@ -203,12 +230,13 @@ def unlike_rows(scratch: Scratch, large: DataFrame, edges: DataFrame, name: str)
     return rows.select("key", "id", blk.alias("blk"), F.when(F.col("inside"), ng).otherwise(F.lit(0)).alias("low"), (ng + nr - 1).alias("high"))
 
 
-def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies, to_set, threshold: float, name: str, *, links: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies, to_set, threshold: float, name: str, *, links: bool = True, to_sets=None) -> tuple[DataFrame | None, DataFrame]:
     """(links, edges) of the items whose sets have a Jaccard similarity of ``threshold`` at least.
 
     keyed: distinct (key bigint, id), a stored table; light: (id, n, sketch) that rules
     out most unlike pairs; bodies(ids): DataFrame (id, copies, body) of the items in
-    ``ids``; to_set(id, body): the item's set as unsigned words, each once.
+    ``ids``; to_set(id, body): the item's set as unsigned words, each once; to_sets(ids,
+    bodies): the same for many items, where that is faster.
     links: (id, n) - copies of other similar items, None unless asked for; edges: (a, b),
     a forest that connects what is similar.
     """
@@ -228,7 +256,7 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies,
 
     def needed(batches):
         out = Rows(need_schema)
-        for t in groups(batches, 3):
+        for t in groups(batches, 3, lambda b: [arrays(c) if i == 5 else c.to_pylist() for i, c in enumerate(b.columns)]):
             m = len(t[0])
             if m < 2:
                 continue
@@ -273,9 +301,14 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies,
 
     link_schema = pa.schema([("id", ids), ("root", ids), ("n", pa.int64())])
 
+    def with_sets(b: pa.RecordBatch) -> list[list]:
+        cols = [arrays(c) if i == 5 else c.to_pylist() for i, c in enumerate(b.columns)]
+        cols[7] = to_sets(cols[4], cols[7]) if to_sets else [to_set(i, x) for i, x in zip(cols[4], cols[7], strict=True)]
+        return cols
+
     def compare(batches):
         out = Rows(link_schema)
-        for t in groups(batches, 3):
+        for t in groups(pieces(batches), 3, with_sets):
             m = len(t[0])
             if m < 2:
                 continue
@@ -283,17 +316,22 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies,
             if m == 2:
                 if not pair_here(key, t[5], t[3], one, two):
                     continue
-                x, y = to_set(t[4][0], t[7][0]), to_set(t[4][1], t[7][1])
+                x, y = t[7]
                 if reaches(in_both(x, y), len(x), len(y), threshold):
                     out.add([t[4], [t[4][0]] * 2, [t[6][1], t[6][0]]])
             else:
                 ok = own_pairs(key, t[5], np.array(t[3]), one, two)
-                sets = [to_set(i, x) for i, x in zip(t[4], t[7], strict=True)]
-                size = np.array([len(s) for s in sets], np.float32)
-                both = common(sets)
-                either = size[:, None] + size[None, :] - both
-                # in whole numbers: at the threshold itself there is no rounding
-                ok &= (both.astype(np.int64) * 1000 >= either.astype(np.int64) * round(threshold * 1000)) & (either > 0)
+                sets = t[7]
+                i, j = np.nonzero(ok)
+                if len(i) <= FEW_PAIRS:
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        ok[x, y] = reaches(in_both(sets[x], sets[y]), len(sets[x]), len(sets[y]), threshold)
+                else:
+                    size = np.array([len(s) for s in sets], np.float32)
+                    both = common(sets)
+                    either = size[:, None] + size[None, :] - both
+                    # in whole numbers: at the threshold itself there is no rounding
+                    ok &= (both.astype(np.int64) * 1000 >= either.astype(np.int64) * round(threshold * 1000)) & (either > 0)
                 if not ok.any():
                     continue
                 ok |= ok.T
