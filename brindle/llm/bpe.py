@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import remember, slices
 
 #: Pieces, byte prefixes and pairs of tokens remembered by a worker, characters of a piece worth remembering; beyond that the memory starts anew. Results don't depend on it.
-PIECES, PREFIXES, NEIGHBOURS, LONG = 100_000, 200_000, 300_000, 64
+PIECES, PREFIXES, NEIGHBOURS, LONG = 200_000, 200_000, 300_000, 64
 #: Lengths that are always worth a look.
 SHORT = (3, 2, 1)
 
