@@ -172,8 +172,21 @@ class PrefixBPE:
         have = n
         while have and data[:have] not in table:
             have -= 1
+        # last_token() for each new prefix, written out: nearly all of the time goes here
+        rank, known, sizes = self.ranks.get, self.fits.get, self.sizes.get
         for end in range(have + 1, n + 1):
-            table[data[:end]] = self.last_token(data, end, lambda k: table[data[:k]])
+            for size in sizes(data[end - 4 : end], SHORT) if end > 3 else SHORT:
+                if size < end:
+                    if (t := rank(data[end - size : end])) is not None:
+                        p = table[data[: end - size]]
+                        good = known((p, t))
+                        if good or good is None and self.may_follow(p, t):
+                            break
+                elif size == end and (t := rank(data[:end])) is not None and self.edge(t) is not None:
+                    break
+            else:
+                raise ValueError("no token can end this prefix")
+            table[data[:end]] = t
         out, end, bytes_of = [], n, self.bytes_of
         while end:
             out.append(table[data[:end]])
@@ -208,7 +221,7 @@ class PrefixBPE:
         """Encodings of the text's pieces: (decimal ids, their bytes as int32)."""
         known = self.pieces
         known.age()
-        return [known[p] for p in self.pattern.findall(text)]
+        return list(map(known.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
