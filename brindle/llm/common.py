@@ -54,10 +54,11 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, unlike: tuple[str, ...] = ()) -> DataFrame:
+        """unlike: columns of which few values are equal, so that no dictionary is tried."""
         path = f"{self.root}/{name}"
         with shuffles_removed(self.spark):
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").options(compression="zstd", **{f"parquet.enable.dictionary#{c}": "false" for c in unlike}).parquet(path)
         fs, at = self._fs(path)
         fs.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)

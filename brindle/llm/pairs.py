@@ -233,7 +233,8 @@ def unlike_rows(scratch: Scratch, large: DataFrame, edges: DataFrame, name: str)
 def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies, to_set, threshold: float, name: str, *, links: bool = True, to_sets=None) -> tuple[DataFrame | None, DataFrame]:
     """(links, edges) of the items whose sets have a Jaccard similarity of ``threshold`` at least.
 
-    keyed: distinct (key bigint, id), a stored table; light: (id, n, sketch) that rules
+    keyed: distinct (key bigint, id), a stored table, or only the keys of several items with
+    m, their number, and pivot, one of them; light: (id, n, sketch) that rules
     out most unlike pairs; bodies(ids): DataFrame (id, copies, body) of the items in
     ``ids``; to_set(id, body): the item's set as unsigned words, each once; to_sets(ids,
     bodies): the same for many items, where that is faster.
@@ -241,9 +242,11 @@ def similar_pairs(scratch: Scratch, keyed: DataFrame, light: DataFrame, bodies,
     a forest that connects what is similar.
     """
     kind = keyed.schema["id"].dataType.simpleString()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot")).where("m > 1")
-    rows = scratch.store(hot_join(scratch, keyed, sizes, ["key"], "m", f"{name}-sizes"), f"{name}-rows")
-    scratch.drop_named(f"{name}-sizes")
+    rows = keyed
+    if "m" not in keyed.columns:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot")).where("m > 1")
+        rows = scratch.store(hot_join(scratch, keyed, sizes, ["key"], "m", f"{name}-sizes"), f"{name}-rows")
+        scratch.drop_named(f"{name}-sizes")
     lists = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(light, "id")
     lists = scratch.store(lists, f"{name}-lists")
     extra = ["keys", "n", "sketch"]

@@ -133,6 +133,45 @@ def test_line_dedup_finds_short_lines_with_one_edit(spark):
     assert not any(got[i] for i in range(120)) and not any(got[i] for i, _ in long)
 
 
+def test_shared_keys_are_brute_force():
+    random.seed(7)
+    some = [random.randrange(-(2**63), 2**63) for _ in range(800)]
+    pairs = [(random.choice(some), random.randrange(50)) for _ in range(1000)] + [(9, i) for i in range(5000)] + [(5000, 1)] * 3
+    ids = collections.defaultdict(set)
+    for key, item in pairs:
+        ids[key].add(item)
+    random.shuffle(pairs)
+    with np.errstate(over="ignore"):
+        keys, where = lines.packed([np.array([[k] for k, _ in pairs])], [np.array([i for _, i in pairs])], 7)
+        parts = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in where.to_pylist()]
+        got = [r for part in parts for r in zip(*[c.tolist() for c in lines.shared_keys(part)], strict=True)]
+    assert len(keys) == len(parts) == 7
+    assert sorted((k, i, m) for k, i, m, _ in got) == sorted((k, i, len(own)) for k, own in ids.items() if len(own) > 1 for i in own)
+    pivots = {k: {p for key, _, _, p in got if key == k} for k, _, _, _ in got}
+    assert all(len(p) == 1 and p <= ids[k] for k, p in pivots.items())
+    with np.errstate(over="ignore"):
+        assert all(len(c) == 0 for x in ([], [(1, 2), (1, 2), (3, 2)]) for c in lines.shared_keys(np.array(x, np.int64).reshape(-1, 2)))
+
+
+def test_keys_of_lines_are_shuffled_once(spark):
+    random.seed(8)
+    rows = [(i, "\n".join(" ".join(str(random.randrange(10**6)) for _ in range(6)) for _ in range(100))) for i in range(100)]
+    rows.append((100, rows[0][1].replace("\n", "0\n")))
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(20_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    before = written()
+    assert {r.doc_id: r.n_removed for r in lines.dedup(docs).collect() if r.n_removed} == {100: 100}
+    time.sleep(0.2)
+    spark.range(1).count()  # figures are brought up to date as tasks end
+    # 10,000 unlike lines of 18 keys, some with near copies: a key and a hash of the line take 16 bytes
+    assert 18 * 16 * 5000 < (n := written() - before) < 18 * 16 * 10_000 * 1.7, n
+
+
 def all_links(sets):
     links = collections.defaultdict(set)
     for a in sets:
